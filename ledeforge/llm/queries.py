@@ -25,6 +25,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.quality_model import FOLDS, HELD_OUT, fit_quality, fold, quality_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.language_id import FOLDS, HELD_OUT, fit_languages, fold, identify_language
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_language(docs, fit_languages(docs))
+    return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledeforge.llm.packing import pack
 
@@ -47,4 +63,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op7_pack, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_model, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
