@@ -61,5 +61,46 @@ FROM p
 """
 
 
+_HOST = "CASE WHEN contains(u, '://') THEN translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
+_PATH = "CASE WHEN contains(u, '://') THEN regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
+
+URL_FILTER = f"""
+WITH u0 AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+u1 AS (SELECT *, {_HOST} AS host, {_PATH} AS path FROM u0),
+u2 AS (
+  SELECT *, string_split(host, '.') AS hp,
+         list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> '') AS pp FROM u1),
+tok AS (
+  SELECT page_id, host, path, list_distinct(list_filter([
+    CASE WHEN regexp_extract(u, '^([A-Za-z]+)://', 1) <> '' THEN 'scheme=' || regexp_extract(u, '^([A-Za-z]+)://', 1) END,
+    CASE WHEN host <> '' THEN 'domain=' || hp[-1] END,
+    CASE WHEN len(hp) >= 2 THEN 'domain=' || array_to_string(hp[-2:], '.') END,
+    CASE WHEN len(hp) >= 3 THEN 'domain=' || array_to_string(hp[-3:], '.') END,
+    CASE WHEN hp[1] <> '' THEN 'label=' || hp[1] END,
+    'path0=' || pp[1], 'path1=' || pp[2],
+    CASE WHEN regexp_extract(path, '\\.([A-Za-z]+)$', 1) <> '' THEN 'ending=' || regexp_extract(path, '\\.([A-Za-z]+)$', 1) END,
+    CASE WHEN contains(u, '#') THEN 'fragment' END]
+    || list_transform(list_sort(list_distinct(regexp_extract_all(u, '[?&]([^=&#]+)', 1)))[1:3], lambda k: 'key=' || k), lambda x: x IS NOT NULL)) AS t
+  FROM u2),
+mark AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+basket AS (SELECT list_sort(t) AS t, bad FROM tok JOIN mark ON page_id = doc_id),
+least_n AS (SELECT greatest(0.002, least(1.0, 5.0::DOUBLE / count(*))) * count(*) AS m FROM basket),
+sub AS (
+  SELECT list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS items, bad
+  FROM (SELECT t, bad, unnest(range(1, (1 << len(t))::BIGINT)) AS b FROM basket)),
+ruled AS (
+  SELECT items FROM sub GROUP BY items
+  HAVING count(*) FILTER (WHERE bad) >= ceil((SELECT m FROM least_n)) AND (count(*) FILTER (WHERE bad)) / count(*) >= 0.5),
+verdicts AS (SELECT t.*, EXISTS (SELECT 1 FROM ruled r WHERE list_has_all(t.t, r.items)) AS hit FROM tok t),
+fits AS (
+  SELECT v.*, g.column2 || g.column3 AS rule, g.column1 AS act
+  FROM verdicts v LEFT JOIN (VALUES (0, 'allow', 'org', '/'), (1, 'block', 'example.org', '/es/'), (2, 'block', 'example.org', '/en/1'), (3, 'allow', 'com', '/fr/'), (4, 'block', 'com', '/de/')) g(column0, column1, column2, column3)
+  ON (host = g.column2 OR ends_with(host, '.' || g.column2)) AND starts_with(path, g.column3))
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule,
+       coalesce(arg_max(act, length(rule)), CASE WHEN bool_or(hit) THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits GROUP BY page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES}
+    return {"op1_line_dedup": LINE_DEDUP, "op5_url_filter": URL_FILTER, "op9_quality_rules": QUALITY_RULES}

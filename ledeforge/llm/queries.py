@@ -33,6 +33,14 @@ def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.url_filter import filter_urls, mine_rules
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = mine_rules(pages, _table(spark, sf_dir, "labels"))
+    return filter_urls(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledeforge.llm.language_id import FOLDS, HELD_OUT, fit_languages, fold, identify_language
 
@@ -63,4 +71,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_model, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
