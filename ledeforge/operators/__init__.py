@@ -1 +1 @@
-"""Operators."""
+"""Relational operators."""

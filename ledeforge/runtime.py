@@ -8,6 +8,7 @@ where that setting is absent, as in tests.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,13 @@ def release(*frames: DataFrame) -> None:
 def input_partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
+
+    They go with the garbage of the driver, which may otherwise not be collected
+    for the length of an iterative operator.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
