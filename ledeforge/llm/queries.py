@@ -25,6 +25,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledeforge.llm.quality_model import FOLDS, HELD_OUT, fit_quality, fold, quality_scores
 
@@ -71,4 +77,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
