@@ -61,6 +61,28 @@ FROM p
 """
 
 
+_WORDS = "list_filter(regexp_split_to_array(" + _LOW.format("coalesce(text, '')") + ", '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+DECONTAMINATE = f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ig AS (SELECT item_id, len(w) AS m, len(w) - 4 AS k, unnest([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS g FROM iw WHERE len(w) >= 5),
+ic AS (SELECT item_id, m, k, g, count(*) AS c FROM ig GROUP BY ALL),
+dg AS (
+  SELECT doc_id, nw, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, w, len(w) AS nw, unnest(range(1, len(w) - 3)) AS i FROM dw)),
+hit AS (SELECT DISTINCT doc_id, item_id, m, k, pos, nw FROM dg JOIN ic USING (g)),
+bag AS (
+  SELECT h.doc_id, h.item_id, h.m, h.k, h.pos, h.nw, d.g, count(*) AS c
+  FROM hit h JOIN dg d ON d.doc_id = h.doc_id AND d.pos >= h.pos AND d.pos < h.pos + h.k GROUP BY ALL),
+sim AS (
+  SELECT b.doc_id, b.item_id, b.pos, b.m, b.nw, sum(least(b.c, ic.c)) AS inter, any_value(b.k) + least(any_value(b.k), any_value(b.nw) - 4 - b.pos) AS tot
+  FROM bag b JOIN ic ON ic.item_id = b.item_id AND ic.g = b.g GROUP BY b.doc_id, b.item_id, b.pos, b.m, b.nw)
+SELECT doc_id, item_id, pos::BIGINT AS start, least(m, nw - pos)::BIGINT AS n_words, round(inter / (tot - inter), 6) AS similarity
+FROM sim WHERE 100 * inter >= 80 * (tot - inter)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY inter / (tot - inter) DESC, pos) = 1
+"""
+
 _HOST = "CASE WHEN contains(u, '://') THEN translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN contains(u, '://') THEN regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 
@@ -103,4 +125,4 @@ FROM fits GROUP BY page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op5_url_filter": URL_FILTER, "op9_quality_rules": QUALITY_RULES}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER, "op9_quality_rules": QUALITY_RULES}

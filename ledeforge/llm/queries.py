@@ -25,6 +25,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.decontaminate import find_leaks
+
+    leaks = find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.col("item").alias("item_id"), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), F.round("similarity", 6).alias("similarity"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledeforge.llm.jaccard_join import jaccard_components
 
@@ -77,4 +84,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
