@@ -83,5 +83,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules, op10_substring_dedup)}
