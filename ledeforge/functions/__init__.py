@@ -1 +1 @@
-"""Functions."""
+"""Column functions: vocabulary, scoring, text and rendering."""

@@ -4,12 +4,526 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledeforge.functions import render, text
+from ledeforge.functions import vocabulary as V
+from ledeforge.functions.scoring import FACTORS, breakdown, classify, primary_subject, title_and_tags, top_drivers, total, weakest, weights_for, with_factors
+from ledeforge.operators import dedupe, filters, prefs, select, stats
+from ledeforge.plans import ranking, sql, views
+from ledeforge.streaming import alerts
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Readers of the multi-reader queries: (chat, categories, depth).
+READERS = [("r1", list(V.CATEGORIES), "balanced"), ("r2", ["macro"], "data"), ("r3", ["flows", "regulation"], "analysis"), ("r4", ["protocol", "security"], "unheard")]
+#: Printed scores lie this much higher, so that halves round alike in every engine.
+TIE = 1e-9
+PREFS_JSON = '{"10": {"categories": ["macro", "nonsense"], "depth": "data"}, "11": {"categories": [], "depth": "loud"}, "12": {"categories": ["security", "flows", "flows"], "depth": "analysis"}}'
+
+
+def query(sql_text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql_text:
+            _SQL[f.__name__] = sql_text
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.news_events(spark, sf_dir)
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = with_factors(_events(spark, sf_dir), views.now())
+    return items.withColumns({"category": classify(title_and_tags()), "subject": primary_subject(F.col("title"))})
+
+
+def _scored(spark: SparkSession, sf_dir: str, depth: str = "balanced") -> DataFrame:
+    return _factors(spark, sf_dir).withColumn("score", total(weights_for(depth)))
+
+
+def _r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+_WITH = f"WITH {sql.EVENTS}"
+_FACT = f"{_WITH}, {sql.factors()}"
+_SCORED = f"{_FACT}, {sql.scored()}"
+
+
+# ---- rejection, windows and caps ----
+
+
+@query(f"{_WITH} SELECT seq, bucket, {sql.REJECT} AS reject FROM ne")
+def reject_reason(spark, sf_dir):
+    return _events(spark, sf_dir).select("seq", "bucket", filters.reject_reason(F.col("title"), F.col("bucket")).alias("reject"))
+
+
+@query(f"{_WITH} SELECT bucket, reason, count(*) AS n FROM (SELECT bucket, {sql.REJECT} AS reason FROM ne) WHERE reason IS NOT NULL GROUP BY ALL")
+def reject_counts(spark, sf_dir):
+    return stats.reject_counts(_events(spark, sf_dir).withColumn("reject", filters.reject_reason(F.col("title"), F.col("bucket"))), ["bucket"])
+
+
+def _capped(spark, sf_dir):
+    fresh = filters.within_window(filters.well_formed(_events(spark, sf_dir)), views.now())
+    return filters.cap_per_source(fresh.withColumn("reject", filters.reject_reason(F.col("title"), F.col("bucket"))))
+
+
+_CAPPED = f"""{_WITH}, fr AS (SELECT *, {sql.REJECT} AS reject FROM ne WHERE length(trim(title)) > 0 AND starts_with(url, 'http') AND published_at >= {sql.NOW} - INTERVAL {V.WINDOW_HOURS} HOUR),
+cp AS (SELECT *, coalesce(sum((reject IS NULL)::INT) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kb FROM fr),
+ca AS (SELECT * FROM cp WHERE kb < {V.MAX_PER_SOURCE})"""
+
+
+@query(f"{_CAPPED} SELECT seq, source, reject FROM ca")
+def window_cap_per_source(spark, sf_dir):
+    return _capped(spark, sf_dir).select("seq", "source", "reject")
+
+
+@query(f"{_CAPPED} SELECT label AS source, count(seq) FILTER (WHERE reject IS NULL) AS kept FROM (SELECT unnest({sql.lst([f[0] for f in V.FEEDS])}) AS label) LEFT JOIN ca ON source = label GROUP BY label")
+def kept_per_source(spark, sf_dir):
+    from ledeforge.sources.feeds import feeds_table
+
+    return stats.kept_per_source(_capped(spark, sf_dir), feeds_table(spark))
+
+
+# ---- categories ----
+
+
+@query(f"{_WITH} SELECT seq, {sql.CATEGORY} AS category FROM ne")
+def category_classify(spark, sf_dir):
+    return _events(spark, sf_dir).select("seq", classify(title_and_tags()).alias("category"))
+
+
+@query(f"{_WITH} SELECT seq, category FROM (SELECT seq, {sql.CATEGORY} AS category FROM ne) WHERE category IN ('flows', 'macro')")
+def category_filter(spark, sf_dir):
+    return filters.category_filter(category_classify(spark, sf_dir), ["flows", "macro"])
+
+
+@query(f"{_WITH} SELECT seq, category FROM (SELECT seq, {sql.CATEGORY} AS category FROM ne) WHERE category IN ('macro', 'flows', 'regulation')")
+def category_semi_join(spark, sf_dir):
+    readers = spark.createDataFrame(READERS[1:3], "chat_id string, categories array<string>, depth string")
+    return filters.category_semi_join(category_classify(spark, sf_dir), readers).select("seq", "category")
+
+
+@query(f"{_WITH} SELECT count(*) AS pool_before, count(*) FILTER (WHERE c IN ('flows', 'macro')) AS pool_after, true AS filtered_by_category FROM (SELECT {sql.CATEGORY} AS c FROM ne)")
+def pool_stats(spark, sf_dir):
+    return stats.pool_stats(category_classify(spark, sf_dir), {"flows", "macro"})
+
+
+# ---- factors ----
+
+_FACTOR_QUERIES = {
+    "keyword_tier": "keyword", "recency": "recency", "source_quality": "source_quality", "topicality": "topicality",
+    "corroboration": "source_count", "numeric_figures": "numeric", "analysis_style": "analysis", "asset_class": "asset",
+}
+
+
+def _factor_query(name: str, factor: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw, why = FACTORS[factor](views.now())
+        out = [F.col("seq"), _r6(raw.cast("double")).alias("raw")]
+        return _events(spark, sf_dir).select(*out, *([] if factor == "recency" else [why.alias("reason")]))
+
+    run.__name__ = name
+    why = f", {sql.WHY[factor]} AS reason" if factor in sql.WHY else ""
+    query(f"{_WITH} SELECT seq, round(({sql.RAW[factor]})::DOUBLE, 6) AS raw{why} FROM ne")(run)
+
+
+for _n, _f in _FACTOR_QUERIES.items():
+    _factor_query(_n, _f)
+
+
+@query(f"{_WITH} SELECT seq, {sql.SUBJECT} AS subject FROM ne")
+def primary_subject_query(spark, sf_dir):
+    return _events(spark, sf_dir).select("seq", primary_subject(F.col("title")).alias("subject"))
+
+
+def _score_query(depth: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _scored(spark, sf_dir, depth).select("seq", _r6(F.col("score") + TIE).alias("score"))
+
+    run.__name__ = f"score_{depth}"
+    query(f"{_FACT}, {sql.scored(depth)} SELECT seq, round(score + 1e-9, 6) AS score FROM sc")(run)
+
+
+for _d in V.DEPTH_SPLITS:
+    _score_query(_d)
+
+CUSTOM = {"keyword": 2.0, "recency": 1.0, "asset": 0.5}
+
+
+@query(f"{_FACT} SELECT seq, round({sql.total(CUSTOM)} + 1e-9, 6) AS score FROM fa")
+def score_custom_weights(spark, sf_dir):
+    return with_factors(_events(spark, sf_dir), views.now(), list(CUSTOM)).select("seq", _r6(total(CUSTOM) + TIE).alias("score"))
+
+
+_W = weights_for()
+_LONG = " UNION ALL ".join(f"SELECT seq, {k} AS ord, '{n}' AS name, raw_{n} AS raw, {w!r}::DOUBLE AS weight, raw_{n} * {w!r}::DOUBLE AS contribution FROM fa" for k, (n, w) in enumerate(_W.items()))
+
+
+def _broken_down(spark, sf_dir):
+    return _factors(spark, sf_dir).withColumn("f", breakdown(_W))
+
+
+@query(f"{_FACT}, lo AS ({_LONG}) SELECT seq, ord, name, round(raw, 6) AS raw, weight, round(contribution, 6) AS contribution FROM lo")
+def breakdown_long(spark, sf_dir):
+    return _broken_down(spark, sf_dir).select("seq", F.explode("f").alias("f")).select("seq", "f.ord", "f.name", _r6("f.raw").alias("raw"), "f.weight", _r6("f.contribution").alias("contribution"))
+
+
+@query(f"{_FACT}, lo AS ({_LONG}) SELECT seq, string_agg(name, ',' ORDER BY contribution DESC, ord) AS drivers FROM (SELECT * FROM lo QUALIFY row_number() OVER (PARTITION BY seq ORDER BY contribution DESC, ord) <= 3) GROUP BY seq")
+def top_drivers_query(spark, sf_dir):
+    return _broken_down(spark, sf_dir).select("seq", F.array_join(F.transform(top_drivers(F.col("f"), 3), lambda x: x["name"]), ",").alias("drivers"))
+
+
+@query(f"{_FACT}, lo AS ({_LONG}) SELECT seq, name AS weakest FROM lo QUALIFY row_number() OVER (PARTITION BY seq ORDER BY contribution, ord) = 1")
+def weakest_factor(spark, sf_dir):
+    return _broken_down(spark, sf_dir).select("seq", weakest(F.col("f")).alias("weakest"))
+
+
+@query(f"{_FACT} SELECT bucket, round(avg(raw_numeric), 6) AS mean, round(stddev_pop(raw_numeric), 6) AS stddev, count(DISTINCT raw_numeric) AS levels FROM fa GROUP BY bucket")
+def numeric_spread(spark, sf_dir):
+    f = _factors(spark, sf_dir)
+    return f.groupBy("bucket").agg(_r6(F.avg("raw_numeric")).alias("mean"), _r6(F.stddev_pop("raw_numeric")).alias("stddev"), F.count_distinct("raw_numeric").alias("levels"))
+
+
+# ---- ranking and selection ----
+
+
+@query(f"{_SCORED} SELECT seq, round(score + 1e-9, 6) AS score FROM sc ORDER BY sc.score DESC, seq LIMIT 10")
+def rank_top_n(spark, sf_dir):
+    return select.top_n(_scored(spark, sf_dir), 10).select("seq", _r6(F.col("score") + TIE).alias("score"))
+
+
+@query(f"{_SCORED} SELECT seq, round(score + 1e-9, 6) AS score FROM sc ORDER BY sc.score DESC, seq LIMIT 1 OFFSET 2")
+def why_nth(spark, sf_dir):
+    return select.nth(_scored(spark, sf_dir), 3).select("seq", _r6(F.col("score") + TIE).alias("score"))
+
+
+def _selected(spark, sf_dir):
+    lo, hi = ranking.limits(F.col("bucket"))
+    return select.select_top(_scored(spark, sf_dir).withColumns({"_lo": lo, "_hi": hi}), ["bucket"], F.col("_lo"), F.col("_hi"))
+
+
+_LO = f"(CASE bucket WHEN 'crypto' THEN {V.LIMITS['crypto'][0]} ELSE {V.LIMITS['macro'][0]} END)"
+_HI = f"(CASE bucket WHEN 'crypto' THEN {V.LIMITS['crypto'][1]} ELSE {V.LIMITS['macro'][1]} END)"
+_SELECTED = f"{_SCORED}, {sql.selected('bucket', _LO, _HI)}"
+
+
+@query(f"{_SELECTED} SELECT bucket, pick, seq, subject, round(score + 1e-9, 6) AS score, backfill FROM sel")
+def select_adaptive(spark, sf_dir):
+    return _selected(spark, sf_dir).select("bucket", F.col("pick").cast("long").alias("pick"), "seq", "subject", _r6(F.col("score") + TIE).alias("score"), "backfill")
+
+
+@query(f"{_SCORED}, sc2 AS (SELECT * FROM sc WHERE score >= 0.62), {sql.selected('source', '8', '12', 'sc2', cap=2)} SELECT source, pick, seq, subject, backfill FROM sel")
+def subject_cap(spark, sf_dir):
+    strong = _scored(spark, sf_dir).filter(F.col("score") >= 0.62)
+    return select.select_top(strong, ["source"], 8, 12, max_per_subject=2).select("source", F.col("pick").cast("long").alias("pick"), "seq", "subject", "backfill")
+
+
+@query(f"{_SELECTED} SELECT row_number() OVER (ORDER BY score DESC, bucket, seq) AS place, bucket, seq FROM sel")
+def final_merge(spark, sf_dir):
+    from pyspark.sql import Window
+
+    merged = select.final_merge(_selected(spark, sf_dir))
+    # a dozen and a half rows: the order of all is the result
+    return merged.select(F.row_number().over(Window.orderBy(F.desc("score"), "bucket_ord", "seq")).cast("long").alias("place"), "bucket", "seq")
+
+
+# ---- words, entities and dedupe ----
+
+
+def _docs(spark, sf_dir):
+    return views.news_docs(spark, sf_dir)
+
+
+_DOCS = f"WITH {sql.DOCS}"
+_DEDUPE = f"WITH RECURSIVE {sql.DOCS}, it AS (SELECT * FROM nd), {sql.EDGES}"
+_ITEMS = f"{_DOCS}, {sql.EVENTS}, it AS (SELECT seq, title FROM nd UNION ALL SELECT -1 - seq, title FROM ne WHERE seq < 46)"
+
+
+def _titles(spark, sf_dir):
+    heads = _events(spark, sf_dir).filter(F.col("seq") < 46).select((-1 - F.col("seq")).alias("seq"), "title")
+    return _docs(spark, sf_dir).select("seq", "title").union(heads)
+
+
+@query(f"{_ITEMS} SELECT seq, array_to_string({sql.normal('title')}, ' ') AS tokens FROM it")
+def normalize_title(spark, sf_dir):
+    return _titles(spark, sf_dir).select("seq", F.array_join(text.normal_tokens(F.col("title")), " ").alias("tokens"))
+
+
+@query(f"{_ITEMS} SELECT seq, array_to_string(list_sort({sql.ENTITIES}), ' ') AS entities FROM it")
+def entity_tokens(spark, sf_dir):
+    return _titles(spark, sf_dir).select("seq", F.array_join(F.sort_array(text.entity_tokens(F.col("title"))), " ").alias("entities"))
+
+
+@query(f"{_ITEMS} SELECT seq, array_to_string(list_sort(list_distinct({sql.normal('title')})), ' ') AS tokens FROM it")
+def content_tokens(spark, sf_dir):
+    return _titles(spark, sf_dir).select("seq", F.array_join(F.sort_array(text.content_tokens(F.col("title"))), " ").alias("tokens"))
+
+
+@query(f"{_DEDUPE} SELECT batch, entity, df FROM edf")
+def entity_df(spark, sf_dir):
+    return dedupe.entity_df(_docs(spark, sf_dir))
+
+
+@query(f"{_DEDUPE} SELECT batch, ceiling::BIGINT AS ceiling FROM ceil")
+def rarity_ceiling(spark, sf_dir):
+    n = _docs(spark, sf_dir).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("batch", dedupe.rarity_ceiling(F.col("n")).cast("long").alias("ceiling"))
+
+
+@query(f"{_DEDUPE} SELECT batch, seq, term, round(w, 6) AS w FROM tn")
+def tfidf_weights(spark, sf_dir):
+    return dedupe.tfidf(_docs(spark, sf_dir)).select("batch", "seq", "term", _r6("w").alias("w"))
+
+
+@query(f"{_DEDUPE} SELECT batch, a, b, round(cosine, 6) AS cosine FROM cosine")
+def edges_cosine(spark, sf_dir):
+    return dedupe.edges_cosine(_docs(spark, sf_dir)).select("batch", "a", "b", _r6("cosine").alias("cosine"))
+
+
+@query(f"{_DEDUPE} SELECT batch, a, b FROM same")
+def edges_same_event(spark, sf_dir):
+    return dedupe.edges_same_event(_docs(spark, sf_dir))
+
+
+@query(f"{_DEDUPE} SELECT batch, a, b FROM rare")
+def edges_rare(spark, sf_dir):
+    return dedupe.edges_rare(_docs(spark, sf_dir))
+
+
+@query(f"{_DEDUPE} SELECT batch, seq, cluster FROM clus")
+def dedupe_clusters(spark, sf_dir):
+    return dedupe.clusters(_docs(spark, sf_dir))
+
+
+_MERGED = "seq, batch, title, source, array_to_string(tags, ',') AS tags, source_count, array_to_string(merged_sources, ',') AS merged_sources"
+
+
+@query(f"{_DEDUPE} SELECT {_MERGED} FROM merged")
+def dedupe_merged(spark, sf_dir):
+    m = dedupe.dedupe(_docs(spark, sf_dir))
+    return m.select("seq", "batch", "title", "source", F.array_join("tags", ",").alias("tags"), "source_count", F.array_join("merged_sources", ",").alias("merged_sources"))
+
+
+# ---- whole runs ----
+
+_RUN = f"""WITH RECURSIVE {sql.DOCS}, it AS (SELECT * REPLACE (batch || '/' || bucket AS batch) FROM nd), {sql.EDGES},
+named AS (SELECT m.*, c.cat0 FROM merged m JOIN (SELECT seq, {sql.CATEGORY} AS cat0 FROM nd) c USING (seq)), {sql.factors('named')}, {sql.scored()}, {sql.selected('batch', _LO, _HI)}"""
+
+
+@query(f"{_RUN} SELECT batch, bucket, pick, seq, cat0 AS category, source_count, round(score + 1e-9, 6) AS score FROM sel")
+def news_pipeline(spark, sf_dir):
+    r = ranking.run(_docs(spark, sf_dir), views.now(), batch=F.col("batch"))
+    return r.items.select("batch", "bucket", F.col("pick").cast("long").alias("pick"), "seq", "category", "source_count", _r6(F.col("score") + TIE).alias("score"))
+
+
+@query(
+    f"{_RUN} SELECT bucket, sum(f)::BIGINT AS fetched, sum(m)::BIGINT AS after_dedupe, sum(s)::BIGINT AS selected FROM (SELECT bucket, 1 AS f, 0 AS m, 0 AS s FROM nd UNION ALL SELECT bucket, 0, 1, 0 FROM merged UNION ALL SELECT bucket, 0, 0, 1 FROM sel) GROUP BY ROLLUP (bucket)"
+)
+def bucket_rollup(spark, sf_dir):
+    return ranking.run(_docs(spark, sf_dir), views.now(), batch=F.col("batch")).counts
+
+
+@query(f"{_CAPPED} SELECT count(*) AS items_kept, count(DISTINCT source) AS sources, count(*) FILTER (WHERE bucket = 'crypto') AS crypto, count(*) FILTER (WHERE bucket = 'macro') AS macro FROM ca WHERE reject IS NULL")
+def pipeline_stats(spark, sf_dir):
+    kept = _capped(spark, sf_dir).filter(F.col("reject").isNull())
+    return kept.agg(F.count(F.lit(1)).alias("items_kept"), F.count_distinct("source").alias("sources"), F.count_if(F.col("bucket") == "crypto").alias("crypto"), F.count_if(F.col("bucket") == "macro").alias("macro"))
+
+
+# ---- readers ----
+
+
+def _readers(spark):
+    p = spark.createDataFrame(READERS, "chat_id string, categories array<string>, depth string")
+    return p.select("chat_id", prefs.sane_categories(F.col("categories")).alias("categories"), prefs.sane_depth(F.col("depth")).alias("depth"))
+
+
+def _reader_rows(spark, sf_dir):
+    return prefs.score_readers(_factors(spark, sf_dir), _readers(spark))
+
+
+def _reader_sql() -> str:
+    parts = []
+    for chat, cats, depth in READERS:
+        where = "" if set(cats) == set(V.CATEGORIES) else f"WHERE cat IN ({', '.join(map(sql.q, cats))})"
+        parts.append(f"SELECT '{chat}' AS chat_id, *, {sql.total(weights_for(depth))} AS score FROM fa {where}")
+    return f"{_FACT}, sc AS ({' UNION ALL '.join(parts)}), {sql.selected('chat_id, bucket', _LO, _HI)}"
+
+
+def _reader_picks(spark, sf_dir):
+    lo, hi = ranking.limits(F.col("bucket"))
+    return select.select_top(_reader_rows(spark, sf_dir).withColumns({"_lo": lo, "_hi": hi}), ["chat_id", "bucket"], F.col("_lo"), F.col("_hi"))
+
+
+@query(f"{_reader_sql()} SELECT chat_id, bucket, pick, seq, round(score + 1e-9, 6) AS score FROM sel")
+def multi_reader_ranking(spark, sf_dir):
+    return _reader_picks(spark, sf_dir).select("chat_id", "bucket", F.col("pick").cast("long").alias("pick"), "seq", _r6(F.col("score") + TIE).alias("score"))
+
+
+@query(f"{_reader_sql()} SELECT chat_id, count(*) AS n, count(*) FILTER (WHERE raw_numeric > 0) AS numeric, count(*) FILTER (WHERE raw_analysis > 0) AS analysis FROM sel GROUP BY chat_id")
+def depth_coverage(spark, sf_dir):
+    return prefs.depth_coverage(_reader_picks(spark, sf_dir), ["chat_id"])
+
+
+def _stored(spark):
+    return prefs.parse_prefs(spark.createDataFrame([(PREFS_JSON,), ("not json",)], "value string"))
+
+
+_ALL_SORTED = ",".join(sorted(V.CATEGORIES))
+
+
+@query(f"SELECT * FROM (VALUES ('10', 'macro', 'data'), ('11', '{_ALL_SORTED}', 'balanced'), ('12', 'flows,security', 'analysis')) t(chat_id, categories, depth)")
+def prefs_sanitize(spark, sf_dir):
+    return _stored(spark).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
+
+
+@query(f"SELECT * FROM (VALUES ('10', '', 'data'), ('11', '{','.join(c for c in sorted(V.CATEGORIES) if c != 'macro')}', 'balanced'), ('12', 'flows,macro,security', 'analysis')) t(chat_id, categories, depth)")
+def prefs_toggle(spark, sf_dir):
+    return prefs.apply_actions(_stored(spark), F.lit("cat:macro")).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
+
+
+# ---- rendered scalars ----
+
+
+@query("SELECT page_id, regexp_replace(string_split(url, '?')[1], '/+$', '') AS key FROM pages")
+def url_key(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.url_key(F.col("url")).alias("key"))
+
+
+@query("SELECT page_id, substr(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), 1, 400) AS plain FROM pages")
+def strip_html(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.strip_html(F.col("html"), V.SUMMARY_CHARS).alias("plain"))
+
+
+@query("SELECT page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escape(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.html_escape(F.col("url")).alias("escaped"))
+
+
+_BADGE = f"CASE WHEN cat IS NULL THEN '📰 General' ELSE MAP {{{', '.join(f'{sql.q(c)}: {sql.q(V.CATEGORY_EMOJI[c])}' for c in V.CATEGORIES)}}}[cat] || ' ' || string_split(MAP {{{', '.join(f'{sql.q(c)}: {sql.q(V.CATEGORY_LABELS[c])}' for c in V.CATEGORIES)}}}[cat], ' &')[1] END"
+
+
+@query(f"{_FACT} SELECT seq, {_BADGE} AS badge FROM fa")
+def badge(spark, sf_dir):
+    return category_classify(spark, sf_dir).select("seq", render.badge(F.col("category")).alias("badge"))
+
+
+@query(f"{_SCORED} SELECT seq, CASE WHEN round(score + 1e-9, 2) >= {V.STRONG_AT} THEN 'Strong' WHEN round(score + 1e-9, 2) >= {V.NOTABLE_AT} THEN 'Notable' ELSE 'Context' END AS band FROM sc")
+def signal_band(spark, sf_dir):
+    return _scored(spark, sf_dir).select("seq", render.signal_band(F.col("score") + TIE).alias("band"))
+
+
+@query(f"{_WITH} SELECT seq, CASE WHEN {sql.AGE} < 1 THEN trunc({sql.AGE} * 60)::INT || 'm ago' WHEN {sql.AGE} < 24 THEN trunc({sql.AGE})::INT || 'h ago' ELSE trunc({sql.AGE} / 24)::INT || 'd ago' END AS age FROM ne")
+def age_text(spark, sf_dir):
+    from ledeforge.functions.scoring import age_hours
+
+    return _events(spark, sf_dir).select("seq", render.age_text(age_hours(views.now())).alias("age"))
+
+
+@query(f"{_WITH} SELECT seq, CASE WHEN source_count <= 1 THEN '' WHEN source_count = 2 THEN '+1 outlet agrees' ELSE '+' || (source_count - 1) || ' outlets agree' END AS outlets FROM ne")
+def outlets_text(spark, sf_dir):
+    return _events(spark, sf_dir).select("seq", render.outlets_text(F.col("source_count")).alias("outlets"))
+
+
+@query(f"{_WITH} SELECT seq, strftime(published_at + INTERVAL 8 HOUR, '%d %b · %H:%M') AS shown FROM ne")
+def local_time(spark, sf_dir):
+    return _events(spark, sf_dir).select("seq", render.local_time(F.col("published_at")).alias("shown"))
+
+
+@query(f"{_SCORED} SELECT seq, repeat('█', round_even((score + 1e-9) * 20, 0)::INT) AS bar FROM sc")
+def score_bar(spark, sf_dir):
+    return _scored(spark, sf_dir).select("seq", render.score_bar(F.col("score") + TIE).alias("bar"))
+
+
+@query()
+def render_entries(spark, sf_dir):
+    from ledeforge.functions.scoring import age_hours
+
+    return _selected(spark, sf_dir).select("bucket", "pick", render.entry(F.col("pick"), age_hours(views.now())).alias("entry"))
+
+
+@query()
+def why_table(spark, sf_dir):
+    best = select.top_n(_scored(spark, sf_dir), 5)
+    return best.select("seq", render.why_table(breakdown(_W)).alias("why"))
+
+
+@query()
+def split_messages(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = render.split_messages(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")))
+    return d.select("doc_id", F.posexplode(parts).alias("part", "text")).select("doc_id", "part", F.length("text").alias("n_chars"))
+
+
+@query("SELECT * FROM (VALUES (0, '{\"headline\": \"a\"}'), (1, '{\"b\": [1]}'), (2, NULL), (3, '{\"c\": 1}')) t(id, json)")
+def llm_json_extract(spark, sf_dir):
+    said = [(0, '```json\n{"headline": "a"}\n```'), (1, 'Sure: {"b": [1]} there'), (2, "no object {here"), (3, '{"c": 1}')]
+    return spark.createDataFrame(said, "id int, said string").select("id", render.extract_json(F.col("said")).alias("json"))
+
+
+FEED_XML = """<rss version="2.0"><channel><title>t</title>
+<item><title>Fed holds rates &amp; signals a cut</title><link>https://example.com/1?x=1</link><description>&lt;p&gt;Long   read&lt;/p&gt;</description><pubDate>Tue, 30 Jan 2024 23:00:00 GMT</pubDate><category>Economy</category><category>FED</category></item>
+<item><title>Top 10 Coins To Watch</title><link>https://example.com/2</link><pubDate>Tue, 30 Jan 2024 22:00:00 +0000</pubDate></item>
+<item><title>Old story about the war economy</title><link>https://example.com/3</link><pubDate>Sat, 20 Jan 2024 22:00:00 +0000</pubDate></item>
+<item><title></title><link>https://example.com/4</link></item>
+<item><title>No date in this tariff story</title><link>https://example.com/5</link></item>
+</channel></rss>"""
+
+
+@query("SELECT * FROM (VALUES (6000000::BIGINT, 'Fed holds rates & signals a cut', 'economy,fed', 'Long read', NULL), (6000001::BIGINT, 'Top 10 Coins To Watch', '', '', 'clickbait'), (6000004::BIGINT, 'No date in this tariff story', '', '', NULL)) t(seq, title, tags, summary, reject)")
+def rss_parse(spark, sf_dir):
+    from ledeforge.sources.feeds import feeds_table, parse_feeds
+
+    bodies = spark.createDataFrame([("CNBC", FEED_XML), ("Bloomberg", None), ("Decrypt", "not xml")], "label string, body string")
+    return parse_feeds(bodies, feeds_table(spark), views.now()).select("seq", "title", F.array_join("tags", ",").alias("tags"), "summary", "reject")
+
+
+@query("SELECT 'BTC' AS symbol, 70000.5::DOUBLE AS price, -1.25::DOUBLE AS change_pct, 55 AS fear_greed")
+def market_snapshot(spark, sf_dir):
+    from ledeforge.sources import market
+
+    ticks = spark.createDataFrame([('[{"symbol": "BTCUSDT", "lastPrice": "70000.5", "priceChangePercent": "-1.25"}, {"symbol": "PEPEUSDT", "lastPrice": "1", "priceChangePercent": "0"}]',), ("broken",)], "value string")
+    mood = spark.createDataFrame([('{"data": [{"value": "55", "value_classification": "Greed"}]}',)], "value string")
+    snap = market.market_snapshot(market.parse_tickers(ticks), market.parse_mood(mood))
+    return snap.select(F.explode("prices").alias("p"), "fear_greed").select("p.symbol", "p.price", "p.change_pct", "fear_greed")
+
+
+# ---- alerts ----
+
+_MARKED = "https://example.com/s/7"
+
+
+@query(f"{_SCORED} SELECT seq, round(score + 1e-9, 6) AS score FROM sc WHERE score >= 0.68 AND regexp_replace(string_split(url, '?')[1], '/+$', '') <> '{_MARKED}'")
+def alert_batch(spark, sf_dir):
+    marked = spark.createDataFrame([(_MARKED,)], "key string")
+    return alerts.due_alerts(_scored(spark, sf_dir), marked, 0.68).select("seq", _r6(F.col("score") + TIE).alias("score"))
+
+
+_FIRE = f"""WITH RECURSIVE ev AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value >= 50),
+walk(user_id, k, event_id, last, fired) AS (
+  SELECT user_id, k, event_id, ts, true FROM ev WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.k, e.event_id, CASE WHEN e.ts - w.last >= INTERVAL {V.ALERT_TTL_HOURS} HOUR THEN e.ts ELSE w.last END, e.ts - w.last >= INTERVAL {V.ALERT_TTL_HOURS} HOUR
+  FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT user_id, event_id FROM walk WHERE fired"""
+
+
+@query(_FIRE)
+def alert_dedup_48h(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value") >= 50).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return alerts.fire_once(e, "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1 +1 @@
-"""Sources."""
+"""Sources and sinks: feeds, market data, preferences, settings."""

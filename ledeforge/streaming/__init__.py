@@ -1 +1 @@
-"""Streaming."""
+"""Alerts over polled rankings and event streams."""
