@@ -93,14 +93,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     windows = materialize(starts.filter(F.size("starts") > 0).select("doc", "digest", "m", "width", F.explode("starts").alias("start")).distinct(), "leak-windows")
     cut = src.join(windows.withColumnsRenamed({"doc": "d", "digest": "g"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select("doc", "digest", "m", "width", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("win"))
     cut = cut.select("doc", "digest", "m", "width", "start", F.size("win").alias("n_words"), _of_width("win", widths).alias("g"))
-    marked = cut.withColumn("fp", simhash("g")).select("*", F.posexplode(_blocks(F.col("fp"), radius)).alias("block", "bits"))
-    filed = small(items.select("item", "m", "ifp", "ibag", F.posexplode(_blocks(F.col("ifp"), radius)).alias("block", "bits")))
+    cut = materialize(cut.withColumns({"k1": F.xxhash64("m", "g"), "k2": F.xxhash64(F.lit(7), "m", "g")}), "leak-cut")
+    # equal windows of many documents are judged once; each step is written, or its functions would move into the join's condition
+    kinds = materialize(cut.select("k1", "k2", "m", "g").dropDuplicates(["k1", "k2"]).withColumn("fp", simhash("g")), "leak-kinds")
+    marked = kinds.select("k1", "k2", "m", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("block", "bits"))
+    filed = small(items.select("item", "m", "ifp", F.posexplode(_blocks(F.col("ifp"), radius)).alias("block", "bits")))
     x = F.col("fp").bitwiseXOR(F.col("ifp"))
-    # of several agreeing blocks the first speaks
-    near = marked.join(filed, ["m", "block", "bits"]).filter((F.bit_count(x) <= radius) & (F.array_position(_blocks(x, radius), F.lit(0).cast("long")) == F.col("block") + 1))
-    both = near.withColumn("inter", F.size(F.array_intersect(_bag("g"), F.col("ibag")))).withColumn("total", F.size("g") + F.size("ibag") - F.col("inter"))
-    leaks = both.filter(F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("total"))
-    best = leaks.groupBy("doc", "digest", "item").agg(F.max(F.struct((F.col("inter") / F.col("total")).alias("similarity"), (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    near = materialize(marked.join(filed, ["m", "block", "bits"]).filter(F.bit_count(x) <= radius).select("k1", "k2", "item").distinct(), "leak-near")
+    bags = near.join(kinds.select("k1", "k2", _bag("g").alias("bag")), ["k1", "k2"]).join(small(items.select("item", "ibag")), "item")
+    sized = bags.select("k1", "k2", "item", F.size(F.array_intersect("bag", "ibag")).alias("inter"), (F.size("bag") + F.size("ibag")).alias("both"))
+    leaks = materialize(sized, "leak-sizes").filter(F.lit(100) * F.col("inter") >= F.lit(percent) * (F.col("both") - F.col("inter")))
+    found = cut.select("doc", "digest", "start", "n_words", "k1", "k2").join(leaks, ["k1", "k2"])
+    best = found.groupBy("doc", "digest", "item").agg(F.max(F.struct((F.col("inter") / (F.col("both") - F.col("inter"))).alias("similarity"), (-F.col("start")).alias("back"), "n_words")).alias("best"))
     return best.select(F.col("doc").alias(id_col), "digest", "item", (-F.col("best.back")).alias("start"), "best.n_words", "best.similarity")
 
 
