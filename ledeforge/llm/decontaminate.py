@@ -69,8 +69,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     A window leaks an item if 100 times the intersection of their bags of
     ``WIDTH``-word shingles is ``percent`` times the union or more; items with
-    fewer words are one shingle. Start counts words from 0; among equals the
-    first window stays. Null, empty and blank texts and items have no windows.
+    fewer words are one shingle. Windows start at a shingle of the item, start
+    counts words from 0, and among equals the first window stays. Null, empty and blank texts and items have no windows.
     ``digest`` is a hash of the text, which tells rows that repeat an id apart.
     """
     items = materialize(_items(benchmark, item_id, item_text), "leak-items")

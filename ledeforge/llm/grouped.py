@@ -8,27 +8,8 @@ import numpy as np
 import pandas as pd
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of one key at a time from sorted batches, however these cut them."""
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        if not len(b):
-            continue
-        new = np.zeros(len(b), dtype=bool)
-        for k in keys:
-            v = b[k].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(new)])
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            yield b.iloc[lo:hi]
-        rest = b.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
-def group_arrays(batches: Iterator[pd.DataFrame], keys: list[str], cols: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """As ``groups``, as arrays by column and without groups of one row; quicker where groups are small."""
+def group_arrays(batches: Iterator[pd.DataFrame], keys: list[str], cols: list[str], least: int = 2) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one key at a time from sorted batches, however these cut them, as arrays by column; keys with fewer than ``least`` rows are passed over."""
     rest: dict[str, np.ndarray] | None = None
     names = [*keys, *(c for c in cols if c not in keys)]
     for b in batches:
@@ -43,8 +24,8 @@ def group_arrays(batches: Iterator[pd.DataFrame], keys: list[str], cols: list[st
             new[1:] |= now[k][1:] != now[k][:-1]
         starts = np.concatenate([[0], np.flatnonzero(new)])
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if hi - lo > 1:
+            if hi - lo >= least:
                 yield {c: v[lo:hi] for c, v in now.items()}
         rest = {c: v[starts[-1] :] for c, v in now.items()}
-    if rest is not None and len(rest[keys[0]]) > 1:
+    if rest is not None and len(rest[keys[0]]) >= least:
         yield rest
