@@ -301,3 +301,35 @@ def test_passages(docs, corpus):
     h = np.array([5, 3, 8, 1, 9, 2, 7], dtype=np.uint64)
     assert sorted(compact_windows(h, 3)) == [(0, 1, 2), (0, 3, 6), (4, 5, 6)]
     assert len(compact_windows(np.zeros(1000, np.uint64), 1)) == 1000
+
+
+def test_edited_passages_are_alike_by_their_sets():
+    from ledeforge.llm.substring_dedup import best_runs
+
+    rng = random.Random(12)
+
+    def hashed(w):
+        return np.array([zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)], dtype=np.uint32)
+
+    text = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    seen = 0
+    for n, edits in [(50, [25]), (60, [30]), (100, [33, 66]), *((rng.randrange(50, 200), None) for _ in range(150))]:
+        p = text(n)
+        v = list(p)
+        for k in edits or [rng.randrange(n) for _ in range(rng.randrange(1, n // 25))]:
+            v[k : k + 1] = text(rng.choice((1, 1, 1, 0, 2)) if edits is None else 1)
+        x, y = set(hashed(p).tolist()), set(hashed(v).tolist())
+        if len(v) < 50 or 5 * len(x & y) < 4 * len(x | y):
+            continue
+        seen += len(x & y) < 0.9 * len(x | y)
+        before, copy = text(rng.randrange(60)), text(20) + p + text(30)
+        a, b = hashed(copy), hashed(before + v + text(rng.randrange(60)))
+        runs = best_runs(a, b, 46, 80)
+        inside = np.isin(b[len(before) : len(before) + len(v) - 4], a).nonzero()[0] + len(before)
+        assert runs and all(any(lo <= k <= hi for _, _, lo, hi, _ in runs) for k in (inside[0], inside[-1])), (n, len(x & y) / len(x | y))
+        for al, ah, bl, bh, sim in runs:
+            s, t = set(a[al : ah + 1].tolist()), set(b[bl : bh + 1].tolist())
+            assert bh - bl >= 45 and sim == len(s & t) / len(s | t) >= 0.8
+    assert seen > 20
+    p = hashed(text(60))  # a text that holds the passage twice
+    assert best_runs(np.concatenate([p, hashed(text(30)), p]), p, 46, 80)[0][4] == 1
