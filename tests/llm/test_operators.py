@@ -333,3 +333,20 @@ def test_edited_passages_are_alike_by_their_sets():
     assert seen > 20
     p = hashed(text(60))  # a text that holds the passage twice
     assert best_runs(np.concatenate([p, hashed(text(30)), p]), p, 46, 80)[0][4] == 1
+
+
+def test_refuted_partners_do_not_hide_others(spark):
+    from ledeforge.llm.substring_dedup import _around, _exact, _pairs, _retried
+
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    x = fresh(93)
+    texts = {20: x, 9: np.concatenate([fresh(20), x[20:70], fresh(23)])}
+    for k in (1, 2, 3, 4, 5, 6):  # scattered overlap that passes by bitmaps, closer than the copy
+        texts[k] = x.copy()
+        gaps = np.flatnonzero(np.arange(93) % 15 >= 10)
+        texts[k][gaps] = fresh(len(gaps))
+    members = spark.createDataFrame([(7, k, 0, 46, 92, 0, k == 20) for k in texts], "key long, id long, l int, c int, r int, fn int, open boolean")
+    shingles = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in texts.items()], "id long, s binary")
+    assert _exact(_pairs(_around(members, shingles, 46, 80, 0, 2), 1), shingles, 46, 80).count() == 0
+    assert [(r["a"], r["b"], r["sim"]) for f in _retried(members, shingles, 46, 80) for r in f.collect()] == [(9, 20, 1.0)]
