@@ -350,3 +350,27 @@ def test_refuted_partners_do_not_hide_others(spark):
     shingles = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in texts.items()], "id long, s binary")
     assert _exact(_pairs(_around(members, shingles, 46, 80, 0, 2), 1), shingles, 46, 80).count() == 0
     assert [(r["a"], r["b"], r["sim"]) for f in _retried(members, shingles, 46, 80) for r in f.collect()] == [(9, 20, 1.0)]
+
+
+def test_first_of_a_family_meets_earlier_near_copies(spark):
+    from ledeforge.llm.shingles import mixed, shingle_list
+    from ledeforge.llm.substring_dedup import _SALT, HASHES, compact_windows, repeated_passages
+
+    rng = random.Random(21)
+
+    def minima(t):
+        s, out = shingle_list(t), set()
+        for fn in range(HASHES):
+            h = mixed(s ^ _SALT[fn])
+            out |= {(fn, int(h[c])) for _, c, _ in compact_windows(h, 46)}
+        return out
+
+    while True:  # a near copy that agrees in one function
+        w = [f"q{rng.randrange(10**6)}" for _ in range(60)]
+        v = [*w[:24], "edited", *w[25:]]
+        z, p = " ".join(v), " ".join(w)
+        if len(minima(z) & minima(p)) == 1:
+            break
+    rows = [(1, z), (2, p), (3, p)]
+    got = {r["doc_id"]: r["first_id"] for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == 1 and got[3] in (1, 2)
