@@ -82,9 +82,9 @@ class ChunkIds(dict):
 
     def text(self, text: str) -> bytes:
         """Where white space is single spaces and newlines between words, a chunk's ids don't depend on its neighbours."""
-        chunks = text.replace("\n", " \n").split(" ")
-        if len(chunks) != len(text.split()):
+        if text.replace("\n", " ").split(" ") != text.split():
             return self.whole(text)
+        chunks = text.replace("\n", " \n").split(" ")
         return b"".join([self.whole(chunks[0]), *map(self.__getitem__, chunks[1:])])
 
 

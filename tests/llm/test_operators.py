@@ -374,3 +374,14 @@ def test_first_of_a_family_meets_earlier_near_copies(spark):
     rows = [(1, z), (2, p), (3, p)]
     got = {r["doc_id"]: r["first_id"] for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[2] == 1 and got[3] in (1, 2)
+
+
+def test_token_ids_where_odd_white_space_balances():
+    from tokenizers import Tokenizer
+
+    from ledeforge.llm.packing import chunk_ids
+
+    path = P.path("byte_bpe_50k.json")
+    whole, table = Tokenizer.from_file(path), chunk_ids(path)
+    for t in ("a\tb\tc\n\n", "a\tb\tc\n\n\nd", "a\xa0b  c", "a\x85b\n", " a", "a　b \nc", "a b\nc d", "a\x1cb\n\nc"):
+        assert table.text(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
