@@ -385,3 +385,14 @@ def test_token_ids_where_odd_white_space_balances():
     whole, table = Tokenizer.from_file(path), chunk_ids(path)
     for t in ("a\tb\tc\n\n", "a\tb\tc\n\n\nd", "a\xa0b  c", "a\x85b\n", " a", "a　b \nc", "a b\nc d", "a\x1cb\n\nc"):
         assert table.text(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+
+
+def test_urls_are_mined_and_matched_whole(spark):
+    from ledeforge.llm.url_filter import filter_urls, mine_rules
+
+    shapes = ["http://h.net/p/q/{}/{k}", "http://h.net/?a=1&b=2&c=3&{}=4", "http://m.{}.x.y.h.net/p", "http://m{k}.{}.h.net/p"]
+    for shape in shapes:
+        urls = [(k, shape.format("zspam" if k % 3 == 0 else "zgood", k=k)) for k in range(60)]
+        pages = spark.createDataFrame(urls, "page_id long, url string")
+        mined = mine_rules(pages, spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(50)], "doc_id long, quality int"))
+        assert {r["page_id"]: r["verdict"] for r in filter_urls(pages, mined).collect()} == {k: "block" if k % 3 == 0 else "allow" for k, _ in urls}, shape
