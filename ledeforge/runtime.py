@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -62,6 +63,15 @@ def input_partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows up to which a small side, of a few numbers a row, is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows, which are counted; beyond, joins shuffle. Give it a materialised frame."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more.
 
