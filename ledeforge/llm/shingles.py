@@ -41,11 +41,11 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def windows(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """One hash for each run of ``width`` words, in order."""
+    """One hash for each run of ``width`` words, in order: a sum with odd factors, which tells orders apart, then mixed."""
     n = len(h) - width + 1
     total = np.full(n, width, dtype=np.uint64)
     for k in range(width):
-        total += mixed(h[k : k + n] + _MULT[k % 5]) * (_MULT[(k + 2) % 5] + np.uint64(2 * k))
+        total += h[k : k + n] * (_MULT[k % 5] + np.uint64(2 * (k // 5)))
     return mixed(total)
 
 
