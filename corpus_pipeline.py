@@ -16,7 +16,7 @@ from ledeforge.llm.jaccard_join import jaccard_components
 from ledeforge.llm.line_dedup import line_dedup
 from ledeforge.llm.packing import pack
 from ledeforge.llm.quality_model import fit_quality, quality_scores
-from ledeforge.runtime import materialize, release
+from ledeforge.runtime import bounded_broadcast, materialize, release
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -37,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents."""
     groups = jaccard_components(docs)
     copies = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded_broadcast(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

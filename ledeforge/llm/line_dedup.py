@@ -4,8 +4,9 @@ Lines are exploded as 128-bit hashes of their normalised form, documents are
 counted per hash with map-side combine, and only the positions to drop travel
 back to the documents. The text itself is shuffled once, for the reassembly by
 position. A line held by a third of all documents costs one counter per map
-task in the count; the join back to the positions is an inner sort-merge join
-that adaptive execution splits.
+task in the count. The repeated lines are written before the positions are
+joined with them: by broadcast up to a counted bound, where no position moves,
+and beyond it by a join that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledeforge.llm.text import ascii_lower, lines, strip_ws
+from ledeforge.runtime import bounded_broadcast, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -42,6 +44,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("n") >= min_docs)
         .select("a", "b", "owner")
     )
+    held = bounded_broadcast(materialize(held, "line-owners"))
     at = (
         docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("digest"), F.posexplode(lines(F.col(text_col))).alias("pos", "line"))
         .withColumn("line", strip_ws(F.col("line")))
