@@ -47,7 +47,7 @@ q AS (
 f AS (
   SELECT g, lang, source, n, a1 - greatest(4 * (b1 - a1), 2000) AS lo1, b1 + greatest(4 * (b1 - a1), 3000) AS hi1,
          b2 + greatest(4 * (b2 - a2), 100) AS hi2, b3 + greatest(4 * (b3 - a3), 300) AS hi3, b4 + greatest(4 * (b4 - a4), 100) AS hi4
-  FROM q WHERE n >= 50 OR g = 2),
+  FROM q WHERE n >= 20 OR g = 2),
 p AS (
   SELECT r.*, coalesce(x.lo1, y.lo1, z.lo1) AS lo1, coalesce(x.hi1, y.hi1, z.hi1) AS hi1, coalesce(x.hi2, y.hi2, z.hi2) AS hi2,
          coalesce(x.hi3, y.hi3, z.hi3) AS hi3, coalesce(x.hi4, y.hi4, z.hi4) AS hi4

@@ -1,10 +1,9 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Base statistics are column expressions over the whole text. Thresholds come
-from mergeable quantile sketches (``percentile_approx``, whose partial states
-merge after map-side combine) of the documents that pass the fixed base rule,
-per (lang, source), with the language and then the whole corpus standing in for
-groups too small to have quantiles. They are joined back to the statistics.
+from mergeable quantile sketches (KLL) of the documents that pass the fixed base
+rule, per (lang, source), with the language and then the whole corpus, merged
+from the same sketches, standing in for groups too small to have quantiles. They are joined back to the statistics.
 """
 
 from __future__ import annotations
@@ -19,10 +18,12 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Rank error of the sketches is 1 in this number.
-ACCURACY = 5000
-#: Groups with fewer documents take the thresholds of the next wider group.
-MIN_GROUP = 50
+#: Size of a quantile sketch: exact up to so many documents, and a rank error of about 1 in 2,000 beyond.
+SKETCH = 4096
+#: Parts in which the sketches of one group's tasks meet first.
+SPREAD = 64
+#: Groups with fewer documents that pass the base rule take the thresholds of the next wider group; quartiles of fewer say little.
+MIN_GROUP = 20
 #: Fences lie this many quartile ranges, and at least the margin, beyond the quartiles.
 FENCE = 4
 #: The judged ratios in thousandths, with the least distance of their fences from the quartiles; None: no fence there.
@@ -75,22 +76,22 @@ def ratios() -> dict:
 
 
 def thresholds(stats: DataFrame, lang: str, source: str) -> DataFrame:
-    """(level, lang, source, n, lo_*, hi_*) for each group, each language and the whole."""
-    sides = []
-    for name in RATIOS:
-        sides.append(F.percentile_approx(name, [0.25, 0.75], ACCURACY).alias(f"q_{name}"))
-    # three grouping sets; their rows are numbers only
-    levels = stats.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(2).alias("level"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source")),
-                F.struct(F.lit(1).alias("level"), F.col(lang).alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-                F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-            )
-        ).alias("g"),
-        *RATIOS,
-    ).groupBy("g.level", "g.g_lang", "g.g_source")
-    made = levels.agg(F.count(F.lit(1)).alias("n"), *sides)
+    """(level, g_lang, g_source, n, lo_*, hi_*) for each group, each language and the whole.
+
+    Each task sketches its own rows of a group; the sketches of a large group
+    meet in ``SPREAD`` parts before they are one, and languages and the whole
+    merge what the groups below them have.
+    """
+    names = [f"k_{name}" for name in RATIOS]
+    merged = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_bigint(k, F.lit(SKETCH)).alias(k) for k in names))
+    part = F.pmod(F.spark_partition_id(), F.lit(SPREAD)).alias("part")
+    own = stats.groupBy(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), part).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_bigint(name, F.lit(SKETCH)).alias(f"k_{name}") for name in RATIOS))
+    groups = materialize(merged(own, "g_lang", "g_source"), "quality-sketches")
+    by_lang = merged(groups, "g_lang").withColumn("g_source", F.lit(None).cast("string"))
+    whole = merged(groups.withColumn("g_lang", F.lit(None).cast("string")), "g_lang").withColumn("g_source", F.lit(None).cast("string"))
+    cols = ["level", "g_lang", "g_source", "n", *names]
+    levels = groups.withColumn("level", F.lit(2)).select(cols).union(by_lang.withColumn("level", F.lit(1)).select(cols)).union(whole.withColumn("level", F.lit(0)).select(cols))
+    made = levels.select("level", "g_lang", "g_source", "n", *(F.kll_sketch_get_quantile_bigint(f"k_{name}", F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{name}") for name in RATIOS))
     out = [F.col(c) for c in ("level", "g_lang", "g_source", "n")]
     for name, (low, high) in RATIOS.items():
         q1, q3 = F.get(f"q_{name}", F.lit(0)), F.get(f"q_{name}", F.lit(1))
@@ -100,11 +101,13 @@ def thresholds(stats: DataFrame, lang: str, source: str) -> DataFrame:
     return made.select(*out)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """Adds the five statistics, ``base_failed`` and ``kept`` to every row; drops the text.
 
     ``kept`` is false where the base rule fails, and else says whether every
-    ratio lies within the fences of the row's group. Null languages and sources
+    ratio lies within the fences of the row's group: its (lang, source) if
+    ``min_group`` of its documents pass the base rule, else its language by the
+    same count, else the whole. Null languages and sources
     are groups of their own. Repeated rows are documents of their own.
     """
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}
@@ -116,7 +119,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     bounds = [f"{s}_{n}" for n in RATIOS for s in ("lo", "hi")]
 
     def level(k: int):
-        return fences.filter((F.col("level") == k) & (F.col("n") >= (MIN_GROUP if k else 0))).select("g_lang", "g_source", F.struct(*bounds).alias(f"b{k}"))
+        return fences.filter((F.col("level") == k) & (F.col("n") >= (min_group if k else 0))).select("g_lang", "g_source", F.struct(*bounds).alias(f"b{k}"))
 
     g2, g1, g0 = level(2), level(1).drop("g_source"), level(0).select("b0")
     found = stats.join(g2, F.col("lang_").eqNullSafe(g2["g_lang"]) & F.col("source_").eqNullSafe(g2["g_source"]), "left").drop("g_lang", "g_source")
