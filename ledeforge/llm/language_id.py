@@ -9,19 +9,19 @@ sizes, so they can be broadcast.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledeforge.llm.quality_model import fold
 
-#: Documented bounds: documents a fit takes, about, by hash of their id; words and n-grams kept.
+#: Documented bounds, parameters of the fit: documents it takes, about, by hash of their id; words and n-grams kept (None: all).
 FIT_DOCS = 20_000
 MAX_WORDS = 40_000
 MAX_GRAMS = 60_000
@@ -29,7 +29,8 @@ LONGEST = 4
 FOLDS, HELD_OUT = 3, 1
 UND = "und"
 CACHE_WORDS = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words are runs of letters, in training and prediction alike.
+LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -89,22 +90,25 @@ class WordScores(dict):
         return self.tables.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageTables:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, max_words: int | None = MAX_WORDS, max_grams: int | None = MAX_GRAMS) -> LanguageTables:
     """Counts words by language in rows outside the held-out fold whose language is known.
 
     Beyond ``fit_docs`` rows, ids are taken by hash at the rate that gives
-    about so many. Words and n-grams are kept by frequency, ties by name.
+    about so many. ``max_words`` words and ``max_grams`` n-grams are kept by
+    frequency, ties by name; a word beyond them is read as n-grams. Repeated
+    rows count each; null ids, as the empty id's fold, are learned from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("id", FOLDS) != HELD_OUT))
     total = rows.count()
     if total > fit_docs:
         rows = rows.filter(F.pmod(F.xxhash64(F.col("id"), F.lit("fit")), F.lit(1 << 40)) < int((1 << 40) * fit_docs / total))
     spoken = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = spoken.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "w").limit(MAX_WORDS)
-    return build_tables([(r["w"], r["by"]) for r in top.collect()])  # MAX_WORDS rows
+    top = spoken.groupBy("w").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "w")
+    top = top if max_words is None else top.limit(max_words)
+    return build_tables([(r["w"], r["by"]) for r in top.collect()], max_grams)  # the words of fit_docs documents at most
 
 
-def build_tables(counted: list[tuple[str, dict[str, int]]]) -> LanguageTables:
+def build_tables(counted: list[tuple[str, dict[str, int]]], max_grams: int | None = MAX_GRAMS) -> LanguageTables:
     langs = sorted({k for _, by in counted for k in by})
     col = {k: i for i, k in enumerate(langs)}
     counts = np.zeros((len(counted), len(langs)))
@@ -116,7 +120,7 @@ def build_tables(counted: list[tuple[str, dict[str, int]]]) -> LanguageTables:
         for i in range(len(padded)):
             for n in range(1, min(LONGEST, len(padded) - i) + 1):
                 grams[padded[i : i + n]] += counts[k]
-    kept = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:MAX_GRAMS]
+    kept = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:max_grams]
 
     def logs(table: np.ndarray) -> np.ndarray:
         return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(table)))) if len(table) else table
