@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledeforge.llm.decontaminate import decontaminate, find_leaks
 from ledeforge.llm.jaccard_join import jaccard_components
 from ledeforge.llm.line_dedup import line_dedup
-from ledeforge.llm.packing import pack
+from ledeforge.llm.packing import PACK_WEIGHTS, pack
 from ledeforge.llm.quality_model import fit_quality, quality_scores
 from ledeforge.runtime import bounded_broadcast, materialize, release
 
@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
     import public_tokenizers
 
-    packed = pack(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), keep_ids=False)
+    packed = pack(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), keep_ids=False, weights=PACK_WEIGHTS)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

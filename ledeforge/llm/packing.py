@@ -31,6 +31,10 @@ from ledeforge.runtime import materialize
 MAX_TOKENS = 2048
 CACHE_WORDS = 300_000
 CACHE_CHARS = 64
+#: Weights of tokens, documents and attention in the production queries; they reach the token lower bound of sequences on the given tables.
+PACK_WEIGHTS = (1.0, 0.5, 0.5)
+#: Pieces of one length that one task ranks, at most about.
+BLOCK_ROWS = 20_000
 
 
 #: A fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for characters from 256 on.
@@ -151,13 +155,16 @@ def plan_bins(counts: dict[int, int], max_tokens: int = MAX_TOKENS, max_docs: in
     return plans
 
 
-def assign_sequences(pieces: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS, blocks: int = 256, **constraints) -> DataFrame:
+def assign_sequences(pieces: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS, blocks: int | None = None, **constraints) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length``; sequences have no gaps.
 
+    Ranks are dealt in ``blocks`` a length, by default so many that the pieces
+    of a block would be ``BLOCK_ROWS`` if all had one length, and 256 at least.
     Pieces should be materialised, since they are read three times. Ties and
     repeated rows take different slots. An empty table stays empty.
     """
     spark = pieces.sparkSession
+    blocks = blocks or max(256, -(-pieces.count() // BLOCK_ROWS))
     # the block follows the row, so that equal rows land together and their order doesn't matter
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64(id_col, "piece"), F.lit(blocks)).cast("int"))
     sizes = materialize(dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
@@ -194,7 +201,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     Constraints: ``max_docs`` pieces and ``max_attention`` squared tokens a
     sequence, ``weights`` of (tokens, documents, attention) and ``score``
-    (``dot`` or ``norm``). Null text is empty, and a null id stays null.
+    (``dot`` or ``norm``). Null text is empty, and a null id stays null. Other
+    columns of ``docs`` are not returned, since a row is a piece.
     """
     pieces = token_pieces(docs, vocabulary, id_col, text_col, max_tokens).withColumn("ids_crc32", F.crc32("ids"))
     pieces = materialize(pieces if keep_ids else pieces.drop("ids"), "pack-pieces")

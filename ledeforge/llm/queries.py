@@ -63,10 +63,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ledeforge.llm.packing import pack
+    from ledeforge.llm.packing import PACK_WEIGHTS, pack
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, _vocabulary("byte_bpe_50k.json"), keep_ids=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(docs, _vocabulary("byte_bpe_50k.json"), keep_ids=False, weights=PACK_WEIGHTS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

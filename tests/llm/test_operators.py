@@ -396,3 +396,83 @@ def test_urls_are_mined_and_matched_whole(spark):
         pages = spark.createDataFrame(urls, "page_id long, url string")
         mined = mine_rules(pages, spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(50)], "doc_id long, quality int"))
         assert {r["page_id"]: r["verdict"] for r in filter_urls(pages, mined).collect()} == {k: "block" if k % 3 == 0 else "allow" for k, _ in urls}, shape
+
+
+def test_thresholds_of_each_group_decide(spark):
+    """Two languages, a large and a small source each: the large ones judge by their own quartiles, the small ones by their language's."""
+    from ledeforge.llm.quality_rules import FENCE, RATIOS, quality_rules
+
+    rng = random.Random(31)
+    rows = []
+    for lang, source, n, size in (("en", "big", 60, 4), ("en", "wee", 5, 4), ("de", "big", 40, 9), (None, None, 30, 6), ("fr", "wee", 3, 5)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join("x" * max(1, size + rng.randrange(-1, 2)) + str(rng.randrange(10**4)) for _ in range(40)), lang, source))
+    for lang, source in (("en", "big"), ("de", "big"), ("en", "wee"), ("fr", "wee"), (None, None)):
+        rows += [(len(rows), " ".join("x" * 15 + str(rng.randrange(10**4)) for _ in range(40)), lang, source)] * 2  # repeated rows count each
+        rows.append((len(rows), " ".join(f"{'#' * (k % 3)}ab{k}cde" for k in range(40)), lang, source))
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=20).collect()
+    ratio = lambda r: {"word_len": 1000 * r["word_chars"] // max(1, r["n_words"]), "symbols": 1000 * r["n_symbols"] // max(1, r["n_words"]), "dup_lines": 1000 * r["n_dup_lines"] // max(1, r["n_words"]), "repeats": 1000 * r["n_repeat_words"] // max(1, r["n_words"])}
+
+    def fences(of):
+        out = {}
+        for name, (low, high) in RATIOS.items():
+            v = sorted(ratio(r)[name] for r in of)
+            q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+            out[name] = (q1 - max(FENCE * (q3 - q1), low) if low is not None else None, q3 + max(FENCE * (q3 - q1), high))
+        return out
+
+    good = [r for r in got if not r["base_failed"]]
+    used = Counter()
+    for r in got:
+        levels = [[x for x in good if (x["lang"], x["source"]) == (r["lang"], r["source"])], [x for x in good if x["lang"] == r["lang"]], good]
+        k = next(k for k, x in enumerate(levels) if len(x) >= 20 or k == 2)
+        used[k] += 1
+        inside = all((lo is None or ratio(r)[n] >= lo) and ratio(r)[n] <= hi for n, (lo, hi) in fences(levels[k]).items())
+        assert r["kept"] == (inside and not r["base_failed"]), r
+    assert len(got) == len(rows) and min(used.values()) > 2 and len(used) == 3 and {r["kept"] for r in good} == {True, False}
+
+
+def test_numerals_are_no_letters_and_scores_follow_the_tables(spark):
+    from ledeforge.llm.language_id import LONGEST, build_tables, fit_languages, identify_language
+
+    rows = [(k, t, x) for k, (t, x) in enumerate([("the water of the house", "en"), ("das wasser im haus", "de"), ("le eau de la maison", "fr")] * 9)]
+    odd = [(100, "² ½ Ⅰ 12", None), (101, "waters hauses 3", None), (102, "w" * 5000 + " haus", None), (103, "ǅ é", None)]
+    d = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    for bounds in ({}, {"max_words": None, "max_grams": None}, {"max_words": 4, "max_grams": 30}):
+        tables = fit_languages(d, **bounds)
+        got = {r["doc_id"]: r for r in identify_language(d, tables).collect()}
+        assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0)
+        for k, t, _ in rows[:3] + odd[1:3]:  # naive backoff: known words by themselves, else the longest known n-gram at each place
+            total = np.zeros(len(tables.langs))
+            for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                if w in tables.words:
+                    total += tables.word_rows[tables.words[w]]
+                    continue
+                p, found = f" {w} ", []
+                for i in range(len(p)):
+                    g = next((p[i : i + n] for n in range(LONGEST, 0, -1) if i + n <= len(p) and p[i : i + n] in tables.grams), None)
+                    if g is not None:
+                        found.append(tables.gram_rows[tables.grams[g]])
+                total += np.mean(found, axis=0) if found else tables.floor
+            assert got[k]["lang_pred"] == tables.langs[int(total.argmax())]
+            assert abs(got[k]["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-9
+    assert len(build_tables([("ab", {"en": 3}), ("cd", {"de": 1})], None).grams) == 17  # nine of each padded word, the space in common
+
+
+def test_packing_reaches_the_lower_bound_and_binds(spark):
+    from ledeforge.llm.packing import PACK_WEIGHTS, pack
+
+    path = P.path("byte_bpe_50k.json")
+    rows = [(None, "a b"), (None, None), (1, "a b"), (1, "a b"), *((k, "word " * (k % 37)) for k in range(2, 200))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack(d, path, max_tokens=64, keep_ids=False, weights=PACK_WEIGHTS).collect()
+    total = sum(r["length"] for r in got)
+    assert len({r["sequence_id"] for r in got}) == -(-total // 64) and sum(r["doc_id"] is None for r in got) == 2
+    for limits in ({"max_docs": 2}, {"max_attention": 64 * 64 // 2 + 900}):
+        small = d.filter("coalesce(length(text), 0) < 150")
+        seqs = defaultdict(list)
+        for r in pack(small, path, max_tokens=64, keep_ids=False, weights=PACK_WEIGHTS, **limits).collect():
+            seqs[r["sequence_id"]].append(r["length"])
+        assert sum(map(len, seqs.values())) == small.count()
+        assert all(len(x) <= limits.get("max_docs", 64) and sum(n * n for n in x) <= limits.get("max_attention", 64 * 64) for x in seqs.values())
+    assert pack(d.limit(0), path, max_tokens=64).count() == 0
