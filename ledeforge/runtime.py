@@ -3,7 +3,7 @@
 Everything an operator has to cut lineage for goes to the folder that the
 cluster names in ``spark.checkpoint.dir``, which all executors share, so a lost
 executor never takes an intermediate with it. A folder of our own is used only
-where that setting is absent, as in tests.
+where that setting is absent and the session is local, as in tests.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="ledeforge-")
     return _LOCAL[app]
 
@@ -34,6 +36,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Rows of an Arrow batch while an intermediate is written: texts can be long, and a worker holds a batch several times.
+BATCH_ROWS = 2_000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns it reread.
 
@@ -41,7 +48,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ledeforge/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = int(spark.conf.get(_ARROW_ROWS))
+    spark.conf.set(_ARROW_ROWS, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     fs, p = _hadoop(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
