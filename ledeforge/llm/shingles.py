@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
