@@ -1,6 +1,14 @@
-"""The pipeline's stages on the smallest tables."""
+"""The pipeline's stages: chained on the smallest tables, and each against plain Python on a fixture."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import corpus_pipeline
+import pytest
+
+WS = " \t\n\x0b\f\r"
 
 
 def test_stages_chain(spark, sf, tmp_path):
@@ -15,3 +23,139 @@ def test_stages_chain(spark, sf, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == names
     assert {"sequence_id", "offset", "ids_crc32"} <= set(docs.columns)
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    """Documents with junk, shared lines, near copies and leaks, and the tables that stages read."""
+    rng = random.Random(41)
+    vocab = [f"w{k}" for k in range(900)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    bench = [text(30) for _ in range(4)]
+    rows, good = [], {}
+
+    def add(t, ok=1):
+        good[len(rows)] = ok
+        rows.append((len(rows), t, "en", f"s{len(rows) % 3}", len(t or "")))
+
+    for k in range(240):
+        add(" ".join(text(60)) + ("\nThis line stands in many of the documents" if k % 8 == 0 else "") + f"\n{' '.join(text(12))}")
+    for _ in range(80):
+        add(" ".join(x + "&&&$$$" for x in text(50)), 0)
+    base = text(90)
+    for k in range(6):
+        v = list(base)
+        v[10 * k] = "edit"
+        add(" ".join(v))
+    for k, item in enumerate(bench):
+        add(" ".join(text(20) + item + text(20 + k)))
+    add("")
+    add(None)
+    add("one two")
+    d = str(tmp_path_factory.mktemp("made"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, v, 0) for k, v in good.items() if k % 9], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, {k: t for k, t, *_ in rows}, good, [" ".join(v) for v in bench]
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_each_stage_against_plain_python(spark, made, tmp_path):
+    d, texts, good, bench = made
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    def step(name, before):
+        stage(name)(spark, before, d).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        return out, ({r["doc_id"]: r["text"] for r in out.collect()} if "text" in out.columns else out.collect())
+
+    kept, now = step("quality_classifier", docs)
+    junk = {k for k, v in good.items() if not v}
+    assert not junk & set(now) and len(set(texts) - junk - set(now)) <= 5  # no judge is needed for blank and two-word texts
+    assert all(now[k] == texts[k] for k in now)
+
+    held, owner = Counter(), {}
+    key = lambda x: x.strip(WS).lower()
+    for k, t in now.items():
+        for x in {key(x) for x in (t or "").split("\n")}:
+            if len(x) >= 20:
+                held[x] += 1
+                owner[x] = max(k, owner.get(x, -1))
+    want = {k: "\n".join(x for x in (t or "").split("\n") if not (held[key(x)] >= 3 and owner[key(x)] != k)) for k, t in now.items()}
+    kept, now = step("line_dedup", kept)
+    assert now == want and sum(len(want[k]) < len(texts[k] or "") for k in want) >= 29
+    assert all(r["n_chars"] == len(r["text"]) for r in kept.collect())
+
+    sets = {k: shingles(t) for k, t in now.items()}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            p, q = root(a), root(b)
+            parent[max(p, q)] = min(p, q)
+    want = {k: t for k, t in now.items() if root(k) == k}
+    assert len(now) - len(want) == 5
+    kept, now = step("jaccard_join", kept)
+    assert now == want
+
+    def leaks(t):
+        w = (t or "").lower().split()
+        grams = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+        for item in bench:
+            v = item.split()
+            for s in range(max(0, len(w) - 4)):
+                x, y = grams(w[s : s + len(v)]), grams(v)
+                if 100 * sum((x & y).values()) >= 80 * sum((x | y).values()):
+                    return True
+        return False
+
+    want = {k: t for k, t in now.items() if not leaks(t)}
+    assert len(now) - len(want) == 4
+    kept, now = step("decontamination", kept)
+    assert now == want
+
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    _, rows = step("packing", kept)
+    ids = {k: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4") for k, t in now.items()}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == {(k, 0, 0, len(x), zlib.crc32(x.tobytes())) for k, x in ids.items()}
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in seqs.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(seqs) == -(-sum(map(len, ids.values())) // 2048)
+
+
+def test_stages_take_odd_and_empty_tables(spark, made, tmp_path):
+    d, *_ = made
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, "a b c d e f g", None, None, None), (7, "same text as ever here", "en", "s", 1), (7, "same text as ever here", "en", "s", 1), (8, None, "en", None, None), (9, "x" * 40_000, "en", "s", 2)], docs.schema))
+    for k, table in enumerate((docs.limit(0), odd)):
+        for name, f in corpus_pipeline.STAGES[1:]:
+            out = f(spark, table, d)
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            n = spark.read.parquet(f"{tmp_path}/{k}-{name}").count()
+            assert n == (0 if k == 0 else n) and (k == 0 or n >= 4), name
+        assert stage("quality_classifier")(spark, table, d).count() <= table.count()
