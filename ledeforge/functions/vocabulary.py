@@ -45,7 +45,6 @@ MAX_PER_SUBJECT = 3
 ALERT_THRESHOLD = 0.72
 ALERT_TTL_HOURS = 48
 ALERT_POLL_MINUTES = 15
-CACHE_TTL_MINUTES = 20
 DIGEST_TIME, DIGEST_TZ = "08:30", "Asia/Hong_Kong"
 DIGEST_BULLETS = 10
 FALLBACK_BULLETS = 6

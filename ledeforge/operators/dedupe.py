@@ -1,8 +1,8 @@
 """Story dedupe within a batch and bucket: three detectors, components, merge.
 
 Each detector needs a shared term or entity, so the pairwise comparison is an
-equi-join of exploded terms: the inverted index does exactly what a full matrix
-would at a fraction of it. Batches are small by nature; partition by batch.
+equi-join of exploded terms. Only the rarest terms that any linked pair must
+share are joined, so a term of every headline makes no pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledeforge.functions import vocabulary as V
 from ledeforge.functions.text import content_tokens, entity_tokens, normal_tokens
 from ledeforge.operators.graph import connected_components
+from ledeforge.runtime import materialize
 
 
 def _grams(items: DataFrame) -> DataFrame:
@@ -39,12 +40,17 @@ def edges_cosine(items: DataFrame, threshold: float = V.DEDUPE_THRESHOLD) -> Dat
     """(batch, a, b, cosine) of pairs at or above a positive ``threshold``."""
     if threshold <= 0:
         raise ValueError("at a threshold of 0 every pair would link, with or without a shared term")
-    w = tfidf(items)
+    w = materialize(tfidf(items), "tfidf")
+    # unit vectors that share only terms with so little of a vector's length can't reach the threshold; all are cut in one order, the rarest terms first
+    df = w.groupBy("batch", "term").agg(F.count(F.lit(1)).alias("df"))
+    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("batch", "seq").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
+    keys = w.join(df, ["batch", "term"]).withColumn("rest", rest).filter(F.sqrt("rest") >= threshold - 1e-6).select("batch", "term", "seq")
+    met = keys.withColumnRenamed("seq", "a").join(keys.withColumnRenamed("seq", "b"), ["batch", "term"]).filter(F.col("a") < F.col("b")).select("batch", "a", "b").distinct()
     left = w.select("batch", "term", F.col("seq").alias("a"), F.col("w").alias("wa"))
     right = w.select("batch", "term", F.col("seq").alias("b"), F.col("w").alias("wb"))
-    met = left.join(right, ["batch", "term"]).filter(F.col("a") < F.col("b"))
+    both = met.join(left, ["batch", "a"]).join(right, ["batch", "b", "term"])
     # sums of floats depend on their order in the last digits
-    return met.groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.round("cosine", 9) >= threshold)
+    return both.groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.round("cosine", 9) >= threshold)
 
 
 def with_entities(items: DataFrame) -> DataFrame:
@@ -61,31 +67,47 @@ def rarity_ceiling(n):
     return F.greatest(F.lit(2), F.least(F.lit(V.RARE_MAX), F.floor(n * F.lit(V.RARE_SHARE)).cast("int")))
 
 
-def _sharing(items: DataFrame) -> DataFrame:
-    """Pairs with a shared entity that isn't generic, with both sides' sets."""
-    e = with_entities(items)
-    generic = F.array(*map(F.lit, V.GENERIC_ENTITIES))
-    keys = e.select("batch", "seq", F.explode(F.array_except("ents", generic)).alias("entity"))
+def _generic():
+    return F.array(*map(F.lit, V.GENERIC_ENTITIES))
+
+
+def _sharing(e: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs that meet in ``keys`` (batch, seq, entity) and share an entity that isn't generic, with both sides' sets."""
     pairs = keys.select("batch", "entity", F.col("seq").alias("a")).join(keys.select("batch", "entity", F.col("seq").alias("b")), ["batch", "entity"]).filter(F.col("a") < F.col("b")).select("batch", "a", "b").distinct()
     left = e.select("batch", F.col("seq").alias("a"), F.col("ents").alias("ea"), F.col("content").alias("ca"))
     right = e.select("batch", F.col("seq").alias("b"), F.col("ents").alias("eb"), F.col("content").alias("cb"))
-    return pairs.join(left, ["batch", "a"]).join(right, ["batch", "b"]).withColumn("shared", F.array_intersect("ea", "eb"))
+    met = pairs.join(left, ["batch", "a"]).join(right, ["batch", "b"]).withColumn("shared", F.array_intersect("ea", "eb"))
+    return met.withColumn("named", F.array_except("shared", _generic())).filter(F.size("named") > 0)
 
 
 def edges_same_event(items: DataFrame) -> DataFrame:
-    """(batch, a, b): two entities or more shared, not all generic, and at least half of all."""
-    return _sharing(items).filter((F.size("shared") >= 2) & (F.size("shared") / F.size(F.array_union("ea", "eb")) >= 0.5)).select("batch", "a", "b")
+    """(batch, a, b): two entities or more shared, not all generic, and at least half of all.
+
+    Sets that share half of all have one of their rarer halves' entities in
+    common, so only those are joined.
+    """
+    e = materialize(with_entities(items), "entities")
+    each = e.select("batch", "seq", F.size("ents").alias("m"), F.explode("ents").alias("entity"))
+    df = each.groupBy("batch", "entity").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("batch", "seq").orderBy("df", "entity"))
+    keys = each.join(df, ["batch", "entity"]).withColumn("place", place).filter(F.col("place") <= F.col("m") - F.ceil(F.col("m") / 2) + 1).select("batch", "seq", "entity")
+    return _sharing(e, keys).filter((F.size("shared") >= 2) & (F.size("shared") / F.size(F.array_union("ea", "eb")) >= 0.5)).select("batch", "a", "b")
 
 
 def edges_rare(items: DataFrame) -> DataFrame:
-    """(batch, a, b): every shared entity that isn't generic is rare, and a content word beyond them is shared."""
-    generic = F.array(*map(F.lit, V.GENERIC_ENTITIES))
-    n = items.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select("batch", rarity_ceiling(F.col("n")).alias("ceiling"))
-    common = entity_df(items).join(n, "batch").filter(F.col("df") > F.col("ceiling")).groupBy("batch").agg(F.collect_set("entity").alias("common"))
-    pairs = _sharing(items).withColumn("named", F.array_except("shared", generic)).join(common, "batch", "left")
-    rare = F.coalesce(~F.arrays_overlap("named", "common"), F.lit(True))
+    """(batch, a, b): every shared entity that isn't generic is rare, and a content word beyond them is shared.
+
+    Such pairs share a rare entity, so only rare ones are joined, in lists no longer than the ceiling.
+    """
+    e = materialize(with_entities(items), "entities")
+    n = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select("batch", rarity_ceiling(F.col("n")).alias("ceiling"))
+    each = e.select("batch", "seq", F.explode(F.array_except("ents", _generic())).alias("entity"))
+    rare = each.groupBy("batch", "entity").agg(F.count(F.lit(1)).alias("df")).join(n, "batch").filter(F.col("df") <= F.col("ceiling")).select("batch", "entity")
+    keys = each.join(rare, ["batch", "entity"])
+    own = keys.groupBy("batch", "seq").agg(F.collect_set("entity").alias("rare"))
+    pairs = _sharing(e, keys).join(own.withColumnRenamed("seq", "a"), ["batch", "a"])
     word = F.size(F.array_except(F.array_intersect("ca", "cb"), F.col("named"))) > 0
-    return pairs.filter(rare & word).select("batch", "a", "b")
+    return pairs.filter((F.size(F.array_except("named", "rare")) == 0) & word).select("batch", "a", "b")
 
 
 def clusters(items: DataFrame, threshold: float = V.DEDUPE_THRESHOLD) -> DataFrame:
@@ -104,7 +126,7 @@ def merge(items: DataFrame, members: DataFrame) -> DataFrame:
         F.min_by(F.struct(*keep, "tags"), "seq").alias("first"),
         F.count_distinct("source").alias("outlets"),
         F.sort_array(F.collect_set("source")).alias("sources"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("all_tags"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("all_tags"),
     )
     many = F.col("n") > 1
     return made.select(

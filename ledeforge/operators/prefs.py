@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledeforge.functions import vocabulary as V
 from ledeforge.functions.scoring import FACTORS, weights_for
+from ledeforge.runtime import bounded_broadcast
 
 DEPTHS = tuple(V.DEPTH_SPLITS)
 SCHEMA = "map<string, struct<categories: array<string>, depth: string>>"
@@ -62,7 +63,7 @@ def score_readers(factors: DataFrame, prefs: DataFrame) -> DataFrame:
 
     Factors are computed once. Readers come as an array beside each item by way
     of their depths, of which there are three, and categories; ``prefs`` is the
-    small side and its size decides how Spark joins it.
+    small side, broadcast up to a counted bound.
     """
     weights = {d: weights_for(d) for d in DEPTHS}
     score = F.lit(None).cast("double")
@@ -75,7 +76,7 @@ def score_readers(factors: DataFrame, prefs: DataFrame) -> DataFrame:
     # a reader of everything meets every item, the others theirs: an equi-join on the category, or on nothing at all
     wants = prefs.select("chat_id", "depth", F.explode(F.when(full, F.array(F.lit("*"))).otherwise(F.col("categories"))).alias("want"))
     offers = factors.withColumn("want", F.explode(F.array_compact(F.array(F.lit("*"), F.col("category")))))
-    return offers.join(wants, "want").withColumn("score", score).drop("want")
+    return offers.join(bounded_broadcast(wants), "want").withColumn("score", score).drop("want")
 
 
 def depth_coverage(selected: DataFrame, keys: list[str]) -> DataFrame:

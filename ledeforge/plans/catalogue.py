@@ -220,10 +220,9 @@ def select_adaptive(spark, sf_dir):
     return _selected(spark, sf_dir).select("bucket", F.col("pick").cast("long").alias("pick"), "seq", "subject", _r6(F.col("score") + TIE).alias("score"), "backfill")
 
 
-@query(f"{_SCORED}, sc2 AS (SELECT * FROM sc WHERE score >= 0.62), {sql.selected('source', '8', '12', 'sc2', cap=2)} SELECT source, pick, seq, subject, backfill FROM sel")
+@query(f"{_SCORED}, {sql.selected('source', '8', '12', 'sc', cap=2)} SELECT source, pick, seq, subject, backfill FROM sel")
 def subject_cap(spark, sf_dir):
-    strong = _scored(spark, sf_dir).filter(F.col("score") >= 0.62)
-    return select.select_top(strong, ["source"], 8, 12, max_per_subject=2).select("source", F.col("pick").cast("long").alias("pick"), "seq", "subject", "backfill")
+    return select.select_top(_scored(spark, sf_dir), ["source"], 8, 12, max_per_subject=2).select("source", F.col("pick").cast("long").alias("pick"), "seq", "subject", "backfill")
 
 
 @query(f"{_SELECTED} SELECT row_number() OVER (ORDER BY score DESC, bucket, seq) AS place, bucket, seq FROM sel")
@@ -244,11 +243,11 @@ def _docs(spark, sf_dir):
 
 _DOCS = f"WITH {sql.DOCS}"
 _DEDUPE = f"WITH RECURSIVE {sql.DOCS}, it AS (SELECT * FROM nd), {sql.EDGES}"
-_ITEMS = f"{_DOCS}, {sql.EVENTS}, it AS (SELECT seq, title FROM nd UNION ALL SELECT -1 - seq, title FROM ne WHERE seq < 46)"
+_ITEMS = f"{_DOCS}, {sql.EVENTS}, it AS (SELECT seq, title FROM nd UNION ALL SELECT -1 - seq, title FROM ne)"
 
 
 def _titles(spark, sf_dir):
-    heads = _events(spark, sf_dir).filter(F.col("seq") < 46).select((-1 - F.col("seq")).alias("seq"), "title")
+    heads = _events(spark, sf_dir).select((-1 - F.col("seq")).alias("seq"), "title")
     return _docs(spark, sf_dir).select("seq", "title").union(heads)
 
 

@@ -31,9 +31,9 @@ EVENTS = f"""ne AS (
          'https://example.com/s/' || (event_id % 500) || '/?u=' || user_id AS url, repeat('word ', (event_id % 60)::INT) AS summary, (event_id % 6 + 1)::INT AS source_count
   FROM events)"""
 DOCS = f"""nd AS (
-  SELECT doc_id::BIGINT AS seq, (doc_id % 4)::VARCHAR AS batch, substr(string_split(text, chr(10))[1], 1, 120) AS title, source,
+  SELECT doc_id::BIGINT AS seq, (doc_id // {views.BATCH_ITEMS})::VARCHAR AS batch, string_split(text, chr(10))[1] AS title, source,
          CASE WHEN doc_id % 3 = 0 THEN 'macro' ELSE 'crypto' END AS bucket, [lang] AS tags, {NOW} - to_minutes((doc_id * 7919 % 2880)::INT) AS published_at,
-         'https://example.com/d/' || doc_id AS url, substr(text, 1, 400) AS summary, 1 AS source_count
+         'https://example.com/d/' || doc_id AS url, text AS summary, 1 AS source_count
   FROM documents)"""
 
 # the look-aheads of a price, for an engine without them: numbers with a unit become a mark before the search

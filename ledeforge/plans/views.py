@@ -63,6 +63,10 @@ TAGSETS = [["markets"], ["crypto", "Monetary_Policy"], [], ["sports"], ["unmappe
 MACRO_SOURCES = [f[0] for f in V.FEEDS if f[2] == "macro"]
 
 
+#: Items of one ranking run, as the views deal them.
+BATCH_ITEMS = 250
+
+
 def dealt(values: list, number: Column) -> Column:
     """The entry of a short list by number."""
     lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
@@ -88,12 +92,12 @@ def news_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A news item for each document, in batches of about 250 at the smaller sizes."""
+    """A news item for each document: its first line is the title and its whole text the summary; ids make batches of up to ``BATCH_ITEMS``, so a larger table has more of them."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("seq"), "text", "lang", "source")
     back = F.pmod(F.col("seq") * 7919, F.lit(2880)).cast("int")
     return d.select(
-        "seq", F.pmod("seq", F.lit(4)).cast("string").alias("batch"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), "source",
+        "seq", F.floor(F.col("seq") / BATCH_ITEMS).cast("string").alias("batch"), F.substring_index("text", "\n", 1).alias("title"), "source",
         F.when(F.pmod("seq", F.lit(3)) == 0, "macro").otherwise("crypto").alias("bucket"), F.array("lang").alias("tags"),
         (now() - F.make_dt_interval(F.lit(0), F.lit(0), back)).alias("published_at"), F.concat(F.lit("https://example.com/d/"), F.col("seq").cast("string")).alias("url"),
-        F.substring("text", 1, 400).alias("summary"), F.lit(1).alias("source_count"),
+        F.col("text").alias("summary"), F.lit(1).alias("source_count"),
     )
