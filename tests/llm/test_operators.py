@@ -102,6 +102,40 @@ def test_jaccard_components(docs, corpus):
         assert got == want
 
 
+def test_jaccard_families_around_the_threshold(spark):
+    """Long lists with linked, refuted and hidden pairs: families that share passages, with similarities from 0.6 to 1."""
+    from ledeforge.llm import jaccard_join as J
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(40, 160))]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(words[: rng.randrange(len(words) * 7 // 10, len(words) + 1)]))
+    sets = {d: shingles(t) for d, t in enumerate(rows)}
+    parent = dict.fromkeys(sets)
+
+    def root(x):
+        while parent[x] is not None:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and (p := root(a)) != (q := root(b)):
+            parent[max(p, q)] = min(p, q)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for block in (2048, 8):
+        J.SHORT_LIST, J.BLOCK, keep = 2, block, (J.SHORT_LIST, J.BLOCK)
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(table).collect()}
+        finally:
+            J.SHORT_LIST, J.BLOCK = keep
+        assert got == {d: root(d) for d in sets}
+
+
 def test_bitmaps_bound_differences():
     from ledeforge.llm.jaccard_join import bitmap, folded, overlap, prefix, subset_sizes
 
