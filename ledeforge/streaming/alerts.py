@@ -1,7 +1,7 @@
 """Threshold alerts with a guard against firing twice.
 
 The batch side keeps a table of (key, marked_at). The streaming side keeps the
-last firing of each key as state.
+last mark of each key as state, until the watermark is past its 48 hours.
 """
 
 from __future__ import annotations
@@ -61,14 +61,19 @@ def fire_once(events: DataFrame, key: str = "key", ts: str = "ts", tie: str = "s
     return rows.mapInPandas(fold, events.schema)
 
 
-def alert_stream(events: DataFrame, threshold: float = V.ALERT_THRESHOLD) -> DataFrame:
+def alert_stream(events: DataFrame, threshold: float = V.ALERT_THRESHOLD, late: str = "1 hour") -> DataFrame:
     """A stream of (key, kind, score, ts) as one of the alerts that fire.
 
     ``kind`` is alert or digest; digest rows mark their key without firing.
     State is the time of the key's last mark; a mark within 48 hours suppresses.
+    Rows later than ``late`` behind the newest are dropped, and a mark goes once
+    no row that it could suppress can come any more.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         last = state.get[0] if state.exists else None
         out = []
@@ -81,10 +86,15 @@ def alert_stream(events: DataFrame, threshold: float = V.ALERT_THRESHOLD) -> Dat
                 last = at
                 out.append((key[0], float(score), ts))
         if last is not None:
-            state.update((last,))
+            ends = -(-(last + TTL_US) // 1000)
+            if ends > state.getCurrentWatermarkMs():
+                state.update((last,))
+                state.setTimeoutTimestamp(ends)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(out, columns=["key", "score", "ts"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "key string, score double, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, score double, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):

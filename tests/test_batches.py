@@ -143,6 +143,23 @@ def test_alert_stream(spark, tmp_path):
     assert sorted((r["key"], r["ts"].day) for r in seen) == [("a", 1), ("a", 3)]
 
 
+def test_alert_stream_forgets(spark, tmp_path):
+    from ledeforge.streaming import alerts
+
+    days = [("a", "2026-01-01"), ("z", "2026-01-10"), ("z", "2026-01-13"), ("a", "2026-01-02"), ("a", "2026-01-14")]
+    for k, day in days:  # one file and one batch each
+        src = spark.createDataFrame([(k, "alert", 0.9, day)], "key string, kind string, score double, t string").select("key", "kind", "score", F.col("t").cast("timestamp").alias("ts"))
+        src.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = []
+    q = alerts.poll(alerts.alert_stream(stream), lambda df, k: seen.extend(df.collect()), f"{tmp_path}/cp")
+    q.awaitTermination(180)
+    assert sorted((r["key"], r["ts"].day) for r in seen) == [("a", 1), ("a", 14), ("z", 10), ("z", 13)]  # the second of January came too late
+    kept = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert sum(s["numRowsRemoved"] for s in kept) >= 1
+    assert max(s["numRowsTotal"] for s in kept) <= 2
+
+
 def test_digest_falls_back(spark):
     rows = spark.createDataFrame([(1, "First", "A", "crypto", 1, "", 0.5), (2, "Second", "B", "crypto", 2, "s", 0.4)], "rank int, title string, source string, bucket string, source_count int, summary string, score double")
     d = ranking.digest(rows).first()
