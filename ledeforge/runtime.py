@@ -41,7 +41,7 @@ BATCH_ROWS = 2_000
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns it reread.
 
     The files go when the application ends, or earlier through ``release``.
@@ -49,7 +49,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ledeforge/{tag}-{uuid.uuid4().hex}"
     before = int(spark.conf.get(_ARROW_ROWS))
-    spark.conf.set(_ARROW_ROWS, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+    spark.conf.set(_ARROW_ROWS, min(before, batch_rows) if before > 0 else batch_rows)
     try:
         df.write.parquet(path)
     finally:
