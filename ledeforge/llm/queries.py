@@ -1,4 +1,4 @@
-"""The driver's queries over the corpus operators, one for each of the ten."""
+"""The driver's queries over the corpus operators, one for each operator."""
 
 from __future__ import annotations
 
@@ -89,5 +89,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.importance import importance_sample
+
+    drawn = importance_sample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledeforge.llm.simhash_trees import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_jaccard_join, op4_quality_model, op5_url_filter, op6_language_id, op7_pack, op8_token_counts, op9_quality_rules, op10_substring_dedup, op11_importance_sample, op12_conversation_trie, op13_simhash_dedup)}
