@@ -124,5 +124,61 @@ FROM fits GROUP BY page_id
 """
 
 
+#: CRC-32 of a string's UTF-8 bytes, by its table of 256 entries; {0}: the string, ``tab`` is a column beside it.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+_BYTES = "list_transform(range(length(hex({0})) // 2), lambda i: ('0x' || substr(hex({0}), 2 * i + 1, 2))::BIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+IMPORTANCE = f"""
+WITH d AS (SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w0 AS (SELECT kind, doc_id, list_filter(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM d),
+w AS (SELECT kind, doc_id, unnest(w) AS word FROM w0),
+v AS (SELECT word, {_CRC.format("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), {_CRC_TABLE}),
+f AS (SELECT kind, doc_id, bucket FROM w JOIN v USING (word)),
+n AS (SELECT bucket, count(*) FILTER (WHERE kind = 0) AS s, count(*) FILTER (WHERE kind = 1) AS t FROM f GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+x AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN m USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * (SELECT count(*) FROM y WHERE n_features >= 20) // 100 AS size FROM y)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= size THEN place END::BIGINT AS rank FROM z
+"""
+
+CONVERSATION_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC.format("conv_id::VARCHAR")} % 9 AS h FROM n, {_CRC_TABLE}),
+cc AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN n b ON b.conv_id = c.base),
+r AS (
+  SELECT cc.conv_id, pos AS depth, role, text FROM cc JOIN t ON t.conv_id = cc.base AND pos <= h
+  UNION ALL SELECT cc.conv_id, pos - h + taken, role, text FROM cc JOIN t ON t.conv_id = cc.conv_id AND pos > h),
+p AS (
+  SELECT conv_id, depth, strlen(text) AS bytes, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM n),
+q AS (
+  SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+q2 AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM q),
+v AS (
+  SELECT depth, node, any_value(parent) AS parent, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM q2 GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (depth, node)),
+s AS (
+  SELECT q2.depth, q2.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved_tokens
+  FROM u JOIN q2 ON q2.conv_id = u.node AND q2.depth <= u.depth GROUP BY q2.depth, q2.node)
+SELECT node AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM u JOIN s USING (depth, node)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER, "op9_quality_rules": QUALITY_RULES}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_decontaminate": DECONTAMINATE, "op5_url_filter": URL_FILTER, "op9_quality_rules": QUALITY_RULES, "op11_importance_sample": IMPORTANCE, "op12_conversation_trie": CONVERSATION_TRIE}
