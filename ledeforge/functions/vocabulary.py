@@ -46,6 +46,7 @@ ALERT_THRESHOLD = 0.72
 ALERT_TTL_HOURS = 48
 ALERT_POLL_MINUTES = 15
 DIGEST_TIME, DIGEST_TZ = "08:30", "Asia/Hong_Kong"
+CACHE_TTL_MINUTES = 20
 DIGEST_BULLETS = 10
 FALLBACK_BULLETS = 6
 MESSAGE_LIMIT = 4096
@@ -59,6 +60,9 @@ FACTOR_WEIGHTS = {
 }
 DEPTH_SPLITS = {"data": (0.170, 0.030), "balanced": (0.100, 0.100), "analysis": (0.030, 0.170)}
 
+DEPTH_LABELS = {"data": "Numbers", "balanced": "Balanced", "analysis": "Analysis"}
+DEPTH_BLURBS = {"data": "stories with hard figures move up", "balanced": "figures and commentary count alike", "analysis": "commentary and outlooks move up"}
+
 # ---- fixed values: keyword stems by tier, their endings and scores ----
 KEYWORD_TIERS = {
     1: listed("fed, fomc, cpi, hack, exploit, bankrupt, insolvency"),

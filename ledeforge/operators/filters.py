@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,10 +50,18 @@ def within_window(items: DataFrame, now: Column, hours: Column | int = V.WINDOW_
 
 
 def cap_per_source(items: DataFrame, cap: int = V.MAX_PER_SOURCE, group: Iterable[str] = ("source",), order: str = "seq") -> DataFrame:
-    """Items with a ``reject`` column, as far as each source is read: nothing after its ``cap``-th kept one."""
-    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    kept_before = F.coalesce(F.sum(F.col("reject").isNull().cast("int")).over(before), F.lit(0))
-    return items.withColumn("_kept_before", kept_before).filter(F.col("_kept_before") < cap).drop("_kept_before")
+    """Items with a ``reject`` column, as far as each source is read: nothing after its ``cap``-th kept one.
+
+    ``order`` is unique within a source. Only the first ``cap`` kept items of each
+    source are ranked, to find where reading ends; the items themselves are never
+    sorted, so a source of very many items stays spread over all tasks.
+    """
+    group = list(group)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(order))
+    kept = items.filter(F.col("reject").isNull()).select(*group, order).withColumn("_place", place).filter(F.col("_place") <= cap)
+    ends = kept.filter(F.col("_place") == cap).select(*(F.col(g).alias(f"_{g}") for g in group), F.col(order).alias("_end"))
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group))
+    return items.join(ends, same, "left").filter(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).select(*items.columns)
 
 
 def category_filter(items: DataFrame, enabled: Iterable[str] | None) -> DataFrame:

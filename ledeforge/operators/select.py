@@ -1,4 +1,4 @@
-"""Ranking and adaptive selection, declared with window functions."""
+"""Ranking and adaptive selection, declared with window functions over bounded prefixes."""
 
 from __future__ import annotations
 
@@ -13,7 +13,17 @@ def rank_items(scored: DataFrame, partition: list[str], order: list[Column] | No
     return scored.withColumn("rk", F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc("score"), *(order or [F.col("seq")]))))
 
 
-def select_top(scored: DataFrame, partition: list[str] | None = None, min_n: Column | int = 6, max_n: Column | int = 12, threshold: float = V.SCORE_THRESHOLD, max_per_subject: int = V.MAX_PER_SUBJECT) -> DataFrame:
+#: Largest ``max_n`` and ``min_n`` that callers give as columns.
+MOST = max(n for pair in V.LIMITS.values() for n in pair)
+
+
+def best_of(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """The first ``n`` rows of each key by score and ``seq``, numbered as ``name``; each task sends on no more than these."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "seq"))
+    return rows.withColumn(name, place).filter(F.col(name) <= n)
+
+
+def select_top(scored: DataFrame, partition: list[str] | None = None, min_n: Column | int = 6, max_n: Column | int = 12, threshold: float = V.SCORE_THRESHOLD, max_per_subject: int = V.MAX_PER_SUBJECT, most: int = MOST) -> DataFrame:
     """An adaptive top of each partition of (score, subject, seq).
 
     Items at or above ``threshold`` make the pool; if they are fewer than
@@ -22,21 +32,23 @@ def select_top(scored: DataFrame, partition: list[str] | None = None, min_n: Col
     ``min_n``. Ranked by score, at equal scores picked before filled; adds
     ``pick`` (place from 1) and ``backfill``.
 
-    Only a prefix of a partition can be chosen or held, but its length depends
-    on the data, so the windows run over the partition; partition by batch and
-    bucket at scale.
+    ``most`` is no less than any ``min_n`` or ``max_n`` given as a column. Of a
+    subject, the first ``max_per_subject`` can be picked and the next ``min_n``
+    held; of those that may be picked, and of those that may be held, no more than
+    ``most`` matter to any later step, the gate included. So each partition is cut
+    to 2 * ``most`` rows before any window runs over it as a whole.
     """
     part = partition or ["bucket"]
     lo, hi = (F.lit(x) if isinstance(x, int) else x for x in (min_n, max_n))
+    most = max([most, *(x for x in (min_n, max_n) if isinstance(x, int))])
+    named = best_of(scored, [*part, "subject"], max_per_subject + most, "_srk")
+    walk = named.withColumn("_ok", F.col("subject").isNull() | (F.col("_srk") <= max_per_subject))
+    walk = best_of(walk, [*part, "_ok"], most, "_krk").drop("_srk", "_krk")
     whole = Window.partitionBy(*part)
-    ranked = rank_items(scored, part)
-    ranked = ranked.withColumn("_g", F.count_if(F.col("score") >= threshold).over(whole))
+    ranked = rank_items(walk, part).withColumn("_g", F.count_if(F.col("score") >= threshold).over(whole))
     pool = ranked.filter(F.col("rk") <= F.when(F.col("_g") < lo, lo).otherwise(F.col("_g")))
-    by_rank = Window.partitionBy(*part).orderBy("rk")
-    running = by_rank.rowsBetween(Window.unboundedPreceding, 0)
-    srk = F.row_number().over(Window.partitionBy(*part, "subject").orderBy("rk"))
-    walk = pool.withColumn("_ok", F.col("subject").isNull() | (srk <= max_per_subject))
-    walk = walk.withColumn("_pos", F.count_if("_ok").over(running))
+    running = Window.partitionBy(*part).orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
+    walk = pool.withColumn("_pos", F.count_if("_ok").over(running))
     walk = walk.withColumn("_np", F.least(F.count_if("_ok").over(whole), hi))
     walk = walk.withColumn("_held", ~F.col("_ok") & (F.col("_pos") < hi))
     walk = walk.withColumn("_hrk", F.count_if("_held").over(running))

@@ -11,7 +11,10 @@ from ledeforge.functions import render, text
 from ledeforge.functions import vocabulary as V
 from ledeforge.functions.scoring import FACTORS, breakdown, classify, primary_subject, title_and_tags, top_drivers, total, weakest, weights_for, with_factors
 from ledeforge.operators import dedupe, filters, prefs, select, stats
-from ledeforge.plans import ranking, sql, views
+from ledeforge.operators.readers import rank_signatures, signature_pools, signatures
+from ledeforge.plans import message_sql as msql
+from ledeforge.plans import messages, ranking, sql, views
+from ledeforge.runtime import materialize
 from ledeforge.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,20 +444,83 @@ def score_bar(spark, sf_dir):
     return _scored(spark, sf_dir).select("seq", render.score_bar(F.col("score") + TIE).alias("bar"))
 
 
-@query()
-def render_entries(spark, sf_dir):
+# ---- rendered messages ----
+
+
+def _ages():
     from ledeforge.functions.scoring import age_hours
 
-    return _selected(spark, sf_dir).select("bucket", "pick", render.entry(F.col("pick"), age_hours(views.now())).alias("entry"))
+    return age_hours(views.now())
+
 
+def _explained(spark, sf_dir):
+    return _scored(spark, sf_dir).withColumn("breakdown", breakdown(_W))
 
-@query()
+
+_DRIVEN = f"{_SCORED}, dr AS (SELECT *, {msql.drivers(_W)} AS fs FROM sc)"
+
+
+@query(f"{_SELECTED} SELECT bucket, pick, {msql.entry('pick')} AS entry FROM sel")
+def render_entries(spark, sf_dir):
+    return _selected(spark, sf_dir).select("bucket", F.col("pick").cast("long").alias("pick"), render.entry(F.col("pick"), _ages()).alias("entry"))
+
+
+@query(f"{_DRIVEN} SELECT seq, array_to_string(list_transform(fs, lambda f: {msql.why_line()}), chr(10)) AS why FROM dr")
 def why_table(spark, sf_dir):
-    best = select.top_n(_scored(spark, sf_dir), 5)
-    return best.select("seq", render.why_table(breakdown(_W)).alias("why"))
+    return _factors(spark, sf_dir).select("seq", render.why_table(breakdown(_W)).alias("why"))
+
+
+@query(f"{_DRIVEN}, pl AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, seq) AS place FROM dr QUALIFY place <= 10), lw AS (SELECT *, {msql.LEAST} AS least FROM pl) SELECT source, place, seq, {msql.why('place')} AS text FROM lw")
+def why_messages(spark, sf_dir):
+    best = select.best_of(_explained(spark, sf_dir), ["source"], 10, "place")
+    return best.select("source", F.col("place").cast("long").alias("place"), "seq", render.why_text(F.col("place"), _ages()).alias("text"))
+
+
+@query(f"{_DRIVEN} SELECT seq, {msql.alert('0.68')} AS text FROM dr WHERE score >= 0.68")
+def alert_messages(spark, sf_dir):
+    due = _explained(spark, sf_dir).filter(F.col("score") >= 0.68)
+    return due.select("seq", render.alert_text(_ages(), F.lit(0.68)).alias("text"))
+
+
+@query(f"WITH {msql.READERS} SELECT chat_id, {msql.settings()} AS text FROM rd")
+def settings_messages(spark, sf_dir):
+    return views.readers(spark, sf_dir).select("chat_id", render.settings_text(F.col("categories"), F.col("depth"), {d: weights_for(d) for d in V.DEPTH_SPLITS}).alias("text"))
+
+
+_SIGNED = f"{_FACT}, {msql.READERS}, {msql.ranked(_LO, _HI)}"
+
+
+def _signed(spark, sf_dir):
+    """(readers, signatures, ranked items, pools), the last two written, since every block of a view reads them."""
+    readers, factors = views.readers(spark, sf_dir), _factors(spark, sf_dir)
+    signs = materialize(signatures(readers), "signatures")
+    lo, hi = ranking.limits(F.col("bucket"))
+    ranked = materialize(rank_signatures(factors, signs, lo, hi), "signature-ranked")
+    return readers, signs, ranked, materialize(signature_pools(factors, signs), "signature-pools")
+
+
+@query(f"{_SIGNED} SELECT sign AS signature, rank, seq, bucket, pick, backfill, round(score + 1e-9, 6) AS score FROM rk")
+def signature_ranking(spark, sf_dir):
+    ranked = _signed(spark, sf_dir)[2]
+    return ranked.select("signature", F.col("rank").cast("long").alias("rank"), "seq", "bucket", F.col("pick").cast("long").alias("pick"), "backfill", _r6(F.col("score") + TIE).alias("score"))
+
+
+@query(f"{_SIGNED}, {msql.notes()}, {msql.sent(msql.top_blocks())}")
+def top_messages(spark, sf_dir):
+    readers, *of = _signed(spark, sf_dir)
+    return messages.messages(messages.top_blocks(*of, views.now()), readers)
+
+
+_NO_MARKET = "<i>market data unavailable</i>"
+
+
+@query(f"{_SIGNED}, {msql.notes()}, {msql.sent(msql.digest_blocks(sql.q(_NO_MARKET)))}")
+def digest_messages(spark, sf_dir):
+    readers, *of = _signed(spark, sf_dir)
+    return messages.messages(messages.digest_blocks(*of, views.now(), F.lit(_NO_MARKET)), readers)
 
 
-@query()
+@query(f"SELECT doc_id, unnest(range(len(p)))::INT AS part, unnest(list_transform(p, lambda x: length(x)))::INT AS n_chars FROM (SELECT doc_id, {msql.split('t')} AS p FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents))")
 def split_messages(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     parts = render.split_messages(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")))

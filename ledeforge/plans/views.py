@@ -101,3 +101,12 @@ def news_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (now() - F.make_dt_interval(F.lit(0), F.lit(0), back)).alias("published_at"), F.concat(F.lit("https://example.com/d/"), F.col("seq").cast("string")).alias("url"),
         F.col("text").alias("summary"), F.lit(1).alias("source_count"),
     )
+
+
+def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader (chat_id, categories, depth) for each user of ``events``: the bits of the id choose categories, and none means all."""
+    from ledeforge.operators import prefs
+
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("chat_id")).filter(F.col("chat_id").isNotNull()).distinct()
+    bits = F.array_compact(F.array(*(F.when(F.getbit("chat_id", F.lit(k)) == 1, F.lit(c)) for k, c in enumerate(V.CATEGORIES))))
+    return users.select("chat_id", prefs.sane_categories(bits).alias("categories"), prefs.sane_depth(dealt(list(V.DEPTH_SPLITS), F.col("chat_id"))).alias("depth"))
