@@ -34,7 +34,7 @@ def message_starts(lengths: np.ndarray, room: int, limit: int, gap: int) -> np.n
     """Marks the blocks that begin a message; the first ``room`` characters go on with the message before. One search a message."""
     out = np.zeros(len(lengths), dtype=bool)
     total = np.concatenate([[0], np.cumsum(lengths + gap)])
-    at = int(np.searchsorted(total, room, "right")) - 1
+    at = int(np.searchsorted(total, room + gap, "right")) - 1
     while at < len(lengths):
         out[at] = True
         at = int(np.searchsorted(total, total[at] + limit + gap, "right")) - 1

@@ -17,10 +17,13 @@ def kept_per_source(items: DataFrame, feeds: DataFrame) -> DataFrame:
     return feeds.select(F.col("label").alias("source")).join(kept, "source", "left").select("source", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-def feed_stats(bodies: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: feeds_total, feeds_ok, feeds_failed and items_kept; a failed feed has a null body."""
-    feeds = bodies.agg(F.count(F.lit(1)).alias("feeds_total"), F.count_if(F.col("body").isNotNull()).alias("feeds_ok"), F.sort_array(F.collect_list(F.when(F.col("body").isNull(), F.col("label")))).alias("feeds_failed"))
-    return feeds.join(items.agg(F.count(F.lit(1)).alias("items_kept")))
+def feed_stats(bodies: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feeds_total, feeds_ok, feeds_failed, items_kept) of each run: a failed feed has a null body, and one whose body holds no item has merely none. Runs have a dozen feeds."""
+    failed = F.sort_array(F.collect_set(F.when(F.col("body").isNull(), F.col("label"))))
+    feeds = bodies.groupBy(*keys).agg(F.count_distinct("label").alias("feeds_total"), failed.alias("feeds_failed"))
+    kept = items.filter(F.col("reject").isNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("items_kept"))
+    health = feeds.withColumn("feeds_ok", F.col("feeds_total") - F.size("feeds_failed"))
+    return health.join(kept, keys, "left").select(*keys, "feeds_total", "feeds_ok", "feeds_failed", F.coalesce("items_kept", F.lit(0)).alias("items_kept"))
 
 
 def bucket_rollup(fetched: DataFrame, merged: DataFrame, selected: DataFrame) -> DataFrame:

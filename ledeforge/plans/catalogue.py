@@ -25,7 +25,6 @@ _SQL: dict[str, str] = {}
 READERS = [("r1", list(V.CATEGORIES), "balanced"), ("r2", ["macro"], "data"), ("r3", ["flows", "regulation"], "analysis"), ("r4", ["protocol", "security"], "unheard")]
 #: Printed scores lie this much higher, so that halves round alike in every engine.
 TIE = 1e-9
-PREFS_JSON = '{"10": {"categories": ["macro", "nonsense"], "depth": "data"}, "11": {"categories": [], "depth": "loud"}, "12": {"categories": ["security", "flows", "flows"], "depth": "analysis"}}'
 
 
 def query(sql_text: str | None = None) -> Callable[[Query], Query]:
@@ -374,21 +373,37 @@ def depth_coverage(spark, sf_dir):
     return prefs.depth_coverage(_reader_picks(spark, sf_dir), ["chat_id"])
 
 
-def _stored(spark):
-    return prefs.parse_prefs(spark.createDataFrame([(PREFS_JSON,), ("not json",)], "value string"))
+def _stored(spark, sf_dir):
+    return prefs.parse_prefs(views.stored_prefs(spark, sf_dir))
 
 
-_ALL_SORTED = ",".join(sorted(V.CATEGORIES))
+_USERS = f"""us0 AS (SELECT DISTINCT user_id AS chat FROM events WHERE user_id IS NOT NULL),
+us AS (SELECT chat, chat % 9 <> 0 AS fine, list_filter([{', '.join(f"CASE WHEN (chat >> {k}) & 1 = 1 THEN {sql.q(c)} END" for k, c in enumerate(V.CATEGORIES))}], lambda x: x IS NOT NULL) AS bits, {sql.lst([*V.DEPTH_SPLITS, 'balanced'])}[chat % 4 + 1] AS depth FROM us0),
+st AS (SELECT chat, fine, list_sort(CASE WHEN len(bits) = 0 THEN {sql.lst(V.CATEGORIES)} ELSE bits END) AS cats, depth FROM us)"""
+_ALL_SORTED = sql.q(",".join(sorted(V.CATEGORIES)))
 
 
-@query(f"SELECT * FROM (VALUES ('10', 'macro', 'data'), ('11', '{_ALL_SORTED}', 'balanced'), ('12', 'flows,security', 'analysis')) t(chat_id, categories, depth)")
+@query(f"WITH {_USERS} SELECT chat::VARCHAR AS chat_id, array_to_string(cats, ',') AS categories, depth FROM st WHERE fine")
 def prefs_sanitize(spark, sf_dir):
-    return _stored(spark).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
+    return _stored(spark, sf_dir).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
 
 
-@query(f"SELECT * FROM (VALUES ('10', '', 'data'), ('11', '{','.join(c for c in sorted(V.CATEGORIES) if c != 'macro')}', 'balanced'), ('12', 'flows,macro,security', 'analysis')) t(chat_id, categories, depth)")
+@query(f"WITH {_USERS} SELECT chat::VARCHAR AS chat_id, CASE WHEN fine THEN array_to_string(cats, ',') ELSE {_ALL_SORTED} END AS categories, CASE WHEN fine THEN depth ELSE 'balanced' END AS depth FROM st")
+def prefs_default(spark, sf_dir):
+    chats = views.stored_prefs(spark, sf_dir).select(F.col("chat").cast("string").alias("chat_id"))
+    return prefs.prefs_or_default(chats, _stored(spark, sf_dir)).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
+
+
+_ACTIONS = ["cat:macro", "depth:analysis", "all:", "cat:bogus", "depth:loud", "nothing"]
+
+
+@query(
+    f"""WITH {_USERS}, ac AS (SELECT *, {sql.lst(_ACTIONS)}[chat % {len(_ACTIONS)} + 1] AS action FROM st WHERE fine)
+SELECT chat::VARCHAR AS chat_id, array_to_string(CASE action WHEN 'cat:macro' THEN CASE WHEN list_contains(cats, 'macro') THEN list_filter(cats, lambda c: c <> 'macro') ELSE list_sort(list_append(cats, 'macro')) END WHEN 'all:' THEN {sql.lst(sorted(V.CATEGORIES))} ELSE cats END, ',') AS categories, CASE action WHEN 'depth:analysis' THEN 'analysis' ELSE depth END AS depth FROM ac"""
+)
 def prefs_toggle(spark, sf_dir):
-    return prefs.apply_actions(_stored(spark), F.lit("cat:macro")).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
+    action = views.dealt(_ACTIONS, F.col("chat_id").cast("long"))
+    return prefs.apply_actions(_stored(spark, sf_dir), action).select("chat_id", F.array_join("categories", ",").alias("categories"), "depth")
 
 
 # ---- rendered scalars ----
@@ -516,8 +531,43 @@ _NO_MARKET = "<i>market data unavailable</i>"
 
 @query(f"{_SIGNED}, {msql.notes()}, {msql.sent(msql.digest_blocks(sql.q(_NO_MARKET)))}")
 def digest_messages(spark, sf_dir):
-    readers, *of = _signed(spark, sf_dir)
-    return messages.messages(messages.digest_blocks(*of, views.now(), F.lit(_NO_MARKET)), readers)
+    readers, signs, ranked, pools = _signed(spark, sf_dir)
+    blocks = messages.digest_blocks(signs, ranked, pools, views.now(), F.lit(_NO_MARKET), ranking.digests(ranked, []))
+    return messages.messages(blocks, readers)
+
+
+def _first_model(prompt: str) -> str:
+    """A model that fails for a third of prompts and answers another third without an object."""
+    if len(prompt) % 3 == 0:
+        raise RuntimeError("no answer")
+    return "no object" if len(prompt) % 3 == 1 else '```json\n{"headline": " First view ", "bullets": ["up 7%", " "]}\n```'
+
+
+def _second_model(prompt: str) -> str:
+    return 'Here: {"headline": "Second view", "bullets": ["99.9 more"]}' if len(prompt) % 2 else '{"headline": " ", "bullets": []}'
+
+
+_PROMPTS = f"""pi AS (SELECT sign, rank, title, source, rank || '. [' || bucket || '] [' || source || ']' || CASE WHEN source_count > 1 THEN ' [corroborated by ' || source_count || ' outlets]' ELSE '' END || ' (score ' || {msql.fixed('score', 2)} || ')' || chr(10) || '   TITLE: ' || title || chr(10) || '   SUMMARY: ' || CASE WHEN summary = '' THEN '(none provided)' ELSE substr(summary, 1, {V.PROMPT_SUMMARY_CHARS}) END AS p FROM rk),
+pr AS (SELECT sign, string_agg(p, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank <= {V.DIGEST_BULLETS}) AS prompt, max(title) FILTER (WHERE rank = 1) AS lead_, string_agg(title || ' (' || source || ')', '|' ORDER BY rank) FILTER (WHERE rank <= {V.FALLBACK_BULLETS}) AS firsts FROM pi GROUP BY sign),
+an AS (SELECT *, CASE WHEN length(prompt) % 3 = 2 THEN 1 WHEN length(prompt) % 2 = 1 THEN 2 ELSE 0 END AS said FROM pr),
+wr AS (SELECT sign, prompt, said, CASE said WHEN 1 THEN 'First view' WHEN 2 THEN 'Second view' ELSE lead_ END AS headline, CASE said WHEN 1 THEN 'up 7%' WHEN 2 THEN '99.9 more' ELSE firsts END AS bullets FROM an)"""
+_FIGURES = r"regexp_extract_all({0}, '(\d[\d,.]*\d|\d)', 1)"
+
+
+@query(
+    f"{_SIGNED}, {_PROMPTS} SELECT sign AS signature, length(prompt)::INT AS n_prompt, headline, bullets, said > 0 AS llm_ok, CASE said WHEN 1 THEN 'first' WHEN 2 THEN 'second' END AS model, CASE WHEN length(prompt) % 3 = 2 THEN '' ELSE 'first' END AS failed, array_to_string(list_filter({_FIGURES.format("headline || chr(10) || replace(bullets, '|', chr(10))")}, lambda x: NOT list_contains({_FIGURES.format('prompt')}, x)), ',') AS invented FROM wr"
+)
+def digest_chain(spark, sf_dir):
+    ranked = _signed(spark, sf_dir)[2]
+    made = ranking.digests(ranked, [("first", _first_model), ("second", _second_model)])
+    sizes = ranking.digest_prompts(ranked, "signature").select("signature", F.length("prompt").alias("n_prompt"))
+    return made.join(sizes, "signature").select("signature", "n_prompt", "headline", F.array_join("bullets", "|").alias("bullets"), "llm_ok", "model", F.array_join("failed", ",").alias("failed"), F.array_join("invented", ",").alias("invented"))
+
+
+@query(f"SELECT doc_id, length(c)::INT AS n_chars, md5(c) AS md5 FROM (SELECT doc_id, CASE WHEN length(t) <= 4096 THEN t ELSE CASE WHEN contains(substr(t, 1, 4072), chr(10)) THEN regexp_extract(substr(t, 1, 4072), '(?s)^(.*)\\n', 1) ELSE substr(t, 1, 4072) END || {msql.text(chr(10) + chr(10) + '<i>…truncated</i>')} END AS c FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
+def clip_messages(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", render.clip(F.coalesce("text", F.lit(""))).alias("c"))
+    return d.select("doc_id", F.length("c").alias("n_chars"), F.md5(F.col("c").cast("binary")).alias("md5"))
 
 
 @query(f"SELECT doc_id, unnest(range(len(p)))::INT AS part, unnest(list_transform(p, lambda x: length(x)))::INT AS n_chars FROM (SELECT doc_id, {msql.split('t')} AS p FROM (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS t FROM documents))")
@@ -527,37 +577,71 @@ def split_messages(spark, sf_dir):
     return d.select("doc_id", F.posexplode(parts).alias("part", "text")).select("doc_id", "part", F.length("text").alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES (0, '{\"headline\": \"a\"}'), (1, '{\"b\": [1]}'), (2, NULL), (3, '{\"c\": 1}')) t(id, json)")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"id": ' || doc_id || ', "n": [' || length(text) || ']}' WHEN 1 THEN '{"id": ' || doc_id || '}' WHEN 3 THEN '{"n": ' || length(text) || '}' END AS json FROM documents""")
 def llm_json_extract(spark, sf_dir):
-    said = [(0, '```json\n{"headline": "a"}\n```'), (1, 'Sure: {"b": [1]} there'), (2, "no object {here"), (3, '{"c": 1}')]
-    return spark.createDataFrame(said, "id int, said string").select("id", render.extract_json(F.col("said")).alias("json"))
-
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.length("text").cast("string").alias("n"))
+    form = F.pmod("doc_id", F.lit(4))
+    said = F.when(form == 0, F.concat(F.lit('```json\n{"id": '), "id", F.lit(', "n": ['), "n", F.lit("]}\n```"))).when(form == 1, F.concat(F.lit('Sure: {"id": '), "id", F.lit("} as asked")))
+    said = said.when(form == 2, F.concat(F.lit("no object {here "), "id")).otherwise(F.concat(F.lit('  {"n": '), "n", F.lit("}")))
+    return d.select("doc_id", render.extract_json(said).alias("json"))
+
+
+_POLL_CAP = 6
+_LABEL = f"{sql.lst([f[0] for f in V.FEEDS])}[doc_id % {len(V.FEEDS)} + 1]"
+_ENTRIES = f"""WITH en0 AS (
+  SELECT doc_id, doc_id // {views.POLL_DOCS} AS poll, doc_id % {len(V.FEEDS)} AS feed, {_LABEL} AS source, {sql.lst([f[2] for f in V.FEEDS])}[doc_id % {len(V.FEEDS)} + 1] AS bucket, {[f[3] or V.WINDOW_HOURS for f in V.FEEDS]}[doc_id % {len(V.FEEDS)} + 1] AS window_h,
+         trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], {sql.q(views.TITLE_CHARS)}, '', 'g')) AS title, upper(lang) AS tag,
+         CASE WHEN doc_id % 13 = 0 THEN {sql.NOW} ELSE {sql.NOW} - to_minutes((doc_id * 7919 % 5000)::INT) END AS published_at FROM documents),
+en1 AS (SELECT *, row_number() OVER (PARTITION BY poll, feed ORDER BY doc_id) - 1 AS entry_idx FROM en0 WHERE (poll + feed) % 11 <> 0),
+en2 AS (SELECT *, {sql.REJECT} AS reject FROM en1 WHERE title <> '' AND doc_id % 17 <> 0 AND published_at >= {sql.NOW} - to_hours(window_h)),
+en3 AS (SELECT *, coalesce(sum((reject IS NULL)::INT) OVER (PARTITION BY poll, source ORDER BY entry_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kb FROM en2),
+en AS (SELECT *, feed * 1000000 + entry_idx AS seq FROM en3 WHERE kb < {_POLL_CAP})"""
+
+
+def _polled(spark, sf_dir):
+    from ledeforge.sources.feeds import feeds_table, parse_feeds
 
-FEED_XML = """<rss version="2.0"><channel><title>t</title>
-<item><title>Fed holds rates &amp; signals a cut</title><link>https://example.com/1?x=1</link><description>&lt;p&gt;Long   read&lt;/p&gt;</description><pubDate>Tue, 30 Jan 2024 23:00:00 GMT</pubDate><category>Economy</category><category>FED</category></item>
-<item><title>Top 10 Coins To Watch</title><link>https://example.com/2</link><pubDate>Tue, 30 Jan 2024 22:00:00 +0000</pubDate></item>
-<item><title>Old story about the war economy</title><link>https://example.com/3</link><pubDate>Sat, 20 Jan 2024 22:00:00 +0000</pubDate></item>
-<item><title></title><link>https://example.com/4</link></item>
-<item><title>No date in this tariff story</title><link>https://example.com/5</link></item>
-</channel></rss>"""
+    bodies = views.feed_bodies(spark, sf_dir)
+    return bodies, parse_feeds(bodies, feeds_table(spark), views.now(), _POLL_CAP)
 
 
-@query("SELECT * FROM (VALUES (6000000::BIGINT, 'Fed holds rates & signals a cut', 'economy,fed', 'Long read', NULL), (6000001::BIGINT, 'Top 10 Coins To Watch', '', '', 'clickbait'), (6000004::BIGINT, 'No date in this tariff story', '', '', NULL)) t(seq, title, tags, summary, reject)")
+@query(f"{_ENTRIES} SELECT poll, seq::BIGINT AS seq, title, source, lower(tag) || ',markets' AS tags, substr(trim(regexp_replace(title || ' & more', ' +', ' ', 'g')), 1, {V.SUMMARY_CHARS}) AS summary, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published, reject FROM en")
 def rss_parse(spark, sf_dir):
-    from ledeforge.sources.feeds import feeds_table, parse_feeds
+    return _polled(spark, sf_dir)[1].select("poll", "seq", "title", "source", F.array_join("tags", ",").alias("tags"), "summary", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), "reject")
+
+
+@query(f"{_ENTRIES} SELECT poll, feeds_total, feeds_total - len(failed) AS feeds_ok, array_to_string(failed, ',') AS feeds_failed, coalesce(items_kept, 0) AS items_kept FROM (SELECT poll, count(DISTINCT feed) AS feeds_total, list_sort(list_distinct(list(source) FILTER (WHERE (poll + feed) % 11 = 0))) AS failed FROM en0 GROUP BY poll) LEFT JOIN (SELECT poll, count(*) AS items_kept FROM en WHERE reject IS NULL GROUP BY poll) USING (poll)")
+def feed_health(spark, sf_dir):
+    health = stats.feed_stats(*_polled(spark, sf_dir), ["poll"])
+    return health.withColumn("feeds_failed", F.array_join("feeds_failed", ",")).withColumn("feeds_ok", F.col("feeds_ok").cast("long"))
+
+
+_MARKET = """WITH mk0 AS (SELECT c_custkey AS poll, c_custkey % 7 <> 0 AS fine, (c_custkey * 37 % 90000) + 0.5 AS btc, (c_custkey % 200 - 100) AS bc, c_custkey % 5 <> 0 AS has_eth, c_custkey * 11 % 5000 AS eth, (c_custkey % 30) + 0.31 AS ec, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 101 END AS fear FROM customer),
+mk AS (SELECT * REPLACE (CASE WHEN bc < 0 THEN bc - 0.26 ELSE bc + 0.26 END AS bc) FROM mk0)"""
+
+
+def _coin(sym: str, price: str, change: str) -> str:
+    return f"'<b>{sym}</b>  $' || format('{{:,}}', round_even({price}::DOUBLE, 0)::BIGINT) || '  ' || CASE WHEN {change} >= 0 THEN '▲' ELSE '▼' END || ' ' || round(abs({change})::DECIMAL(18, 9), 1)::DECIMAL(18, 1) || '%'"
+
+
+def _coin_prompt(sym: str, price: str, change: str) -> str:
+    return f"'{sym} $' || format('{{:,.2f}}', {price}::DOUBLE) || ' (' || CASE WHEN {change} >= 0 THEN '+' ELSE '' END || {change}::DECIMAL(18, 2) || '% 24h)'"
 
-    bodies = spark.createDataFrame([("CNBC", FEED_XML), ("Bloomberg", None), ("Decrypt", "not xml")], "label string, body string")
-    return parse_feeds(bodies, feeds_table(spark), views.now()).select("seq", "title", F.array_join("tags", ",").alias("tags"), "summary", "reject")
 
+_COINS = lambda f: f"list_filter([CASE WHEN fine AND has_eth THEN {f('ETH', 'eth', 'ec')} END, CASE WHEN fine THEN {f('BTC', 'btc', 'bc')} END], lambda x: x IS NOT NULL)"
 
-@query("SELECT 'BTC' AS symbol, 70000.5::DOUBLE AS price, -1.25::DOUBLE AS change_pct, 55 AS fear_greed")
+
+@query(
+    f"""{_MARKET} SELECT poll, CASE WHEN NOT fine AND fear IS NULL THEN '<i>market data unavailable</i>' ELSE array_to_string({_COINS(_coin)}, chr(10)) || CASE WHEN fear IS NULL THEN '' ELSE chr(10) || chr(10) || '<i>Fear &amp; Greed ' || fear || ' · Greed &amp; </i>' END END AS line,
+CASE WHEN NOT fine AND fear IS NULL THEN '(market data unavailable this run)' ELSE array_to_string({_COINS(_coin_prompt)} || CASE WHEN fear IS NULL THEN []::VARCHAR[] ELSE ['Fear & Greed ' || fear || ' (Greed & )'] END, ' | ') END AS prompt FROM mk"""
+)
 def market_snapshot(spark, sf_dir):
     from ledeforge.sources import market
 
-    ticks = spark.createDataFrame([('[{"symbol": "BTCUSDT", "lastPrice": "70000.5", "priceChangePercent": "-1.25"}, {"symbol": "PEPEUSDT", "lastPrice": "1", "priceChangePercent": "0"}]',), ("broken",)], "value string")
-    mood = spark.createDataFrame([('{"data": [{"value": "55", "value_classification": "Greed"}]}',)], "value string")
-    snap = market.market_snapshot(market.parse_tickers(ticks), market.parse_mood(mood))
-    return snap.select(F.explode("prices").alias("p"), "fear_greed").select("p.symbol", "p.price", "p.change_pct", "fear_greed")
+    polls = views.market_polls(spark, sf_dir)
+    snap = market.market_snapshot(market.parse_tickers(polls.select("poll", F.col("tickers").alias("value"))), market.parse_mood(polls.select("poll", F.col("mood").alias("value"))), polls)
+    of = (F.col("prices"), F.col("fear_greed"), F.col("fear_greed_label"))
+    return snap.select("poll", render.market_line(*of).alias("line"), render.market_prompt(*of).alias("prompt"))
 
 
 # ---- alerts ----
@@ -586,6 +670,31 @@ def alert_dedup_48h(spark, sf_dir):
     return alerts.fire_once(e, "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
+# ---- the ranking cache ----
+
+#: Chats of the cache query; each has many requests.
+_CHATS = 10
+_TRACE = f"""WITH RECURSIVE tr AS (
+  SELECT user_id % {_CHATS} AS chat_id, event_id AS seq, ts, event_type = 'signup' AS change, CASE WHEN event_id % 5 = 0 THEN 'macro|data' ELSE 'flows,macro|balanced' END AS sig,
+         row_number() OVER (PARTITION BY user_id % {_CHATS} ORDER BY ts, event_id) AS k FROM events),
+walk(chat_id, k, seq, change, hit, sig, since) AS (
+  SELECT chat_id, k, seq, change, false, CASE WHEN change THEN NULL ELSE sig END, CASE WHEN change THEN NULL ELSE ts END FROM tr WHERE k = 1
+  UNION ALL
+  SELECT e.chat_id, e.k, e.seq, e.change, h, CASE WHEN e.change THEN NULL WHEN h THEN w.sig ELSE e.sig END, CASE WHEN e.change THEN NULL WHEN h THEN w.since ELSE e.ts END
+  FROM (SELECT e.*, w.sig AS wsig, w.since AS wat, coalesce(NOT e.change AND e.sig = w.sig AND e.ts - w.since < INTERVAL {V.CACHE_TTL_MINUTES} MINUTE, false) AS h FROM walk w JOIN tr e ON e.chat_id = w.chat_id AND e.k = w.k + 1) e,
+       LATERAL (SELECT e.wsig AS sig, e.wat AS since) w)
+SELECT chat_id, seq, hit FROM walk WHERE NOT change"""
+
+
+@query(_TRACE)
+def cache_hits(spark, sf_dir):
+    from ledeforge.sources.ranking_cache import served
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % _CHATS).alias("chat_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    asked = e.filter("event_type <> 'signup'").select("chat_id", F.when(F.col("seq") % 5 == 0, "macro|data").otherwise("flows,macro|balanced").alias("signature"), "ts", "seq")
+    return served(asked, e.filter("event_type = 'signup'")).select("chat_id", "seq", "hit")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -39,7 +39,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _notes(signs: DataFrame, ranked: DataFrame, pools: DataFrame) -> DataFrame:
     """(signature, ..., n, scope, depth_said) of every signature, with a count of its stories and the two remarks."""
     carries = lambda f: F.count_if(F.col(f"raw_{f}") > 0)
-    counts = ranked.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), carries("numeric").alias("numeric"), carries("analysis").alias("analysis"), F.max(F.when(F.col("rank") == 1, F.col("title"))).alias("lead"))
+    counts = ranked.groupBy("signature").agg(F.count(F.lit(1)).alias("n"), carries("numeric").alias("numeric"), carries("analysis").alias("analysis"))
     rows = signs.join(counts, "signature", "left").join(pools, "signature", "left").fillna(0, ["n", "numeric", "analysis"])
     carried = F.when(F.col("depth") == "analysis", F.col("analysis")).otherwise(F.col("numeric"))
     return rows.withColumns({"scope": render.scope_note(F.col("categories"), F.col("pool_before"), F.col("pool_after")), "depth_said": render.depth_note(carried, F.col("n"), F.col("depth"))})
@@ -61,23 +61,23 @@ def top_blocks(signs: DataFrame, ranked: DataFrame, pools: DataFrame, now: Colum
     ])
 
 
-def digest_blocks(signs: DataFrame, ranked: DataFrame, pools: DataFrame, now: Column, market: Column, tz: str = V.DIGEST_TZ) -> DataFrame:
-    """(signature, ord, text) of the digests without a model: the first story as headline, bullets, every source, the market line, remarks and the legend.
+def digest_blocks(signs: DataFrame, ranked: DataFrame, pools: DataFrame, now: Column, market: Column, written: DataFrame, tz: str = V.DIGEST_TZ) -> DataFrame:
+    """(signature, ord, text) of the digests: headline and bullets as ``written`` (signature, headline, bullets, llm_ok), every source, the market line, remarks and the legend.
 
     Without stories the digest says so, and no model is missed.
     """
-    noted = _notes(signs, ranked, pools)
+    noted = _notes(signs, ranked, pools).join(written.select("signature", "headline", "llm_ok"), "signature", "left")
     some = noted.filter("n > 0")
-    bullets = ranked.filter(F.col("rank") <= V.FALLBACK_BULLETS)
+    bullets = written.select("signature", F.posexplode("bullets").alias("k", "b"))
     head = F.concat(F.lit("📊 <b>Your briefing</b>\n<i>"), render.local_time(now, tz), F.lit("</i>"))
     return _union([
         _block(noted, HEAD, head), _block(noted, OPENING, render.RULE),
-        _block(noted, STORY, F.concat(F.lit("<b>"), html_escape(F.coalesce("lead", F.lit(NO_STORY))), F.lit("</b>"))),
-        _block(bullets, F.col("rank") + BULLETS, F.concat(F.lit("▸ "), html_escape(F.concat("title", F.lit(" ("), "source", F.lit(")"))))),
+        _block(noted, STORY, F.concat(F.lit("<b>"), html_escape(F.coalesce("headline", F.lit(NO_STORY))), F.lit("</b>"))),
+        _block(bullets, F.col("k") + BULLETS, F.concat(F.lit("▸ "), html_escape(F.col("b")))),
         _block(some, CLOSING, render.RULE), _block(some, SOURCES, "<b>Sources</b>"),
         _block(ranked, F.col("rank") + ENTRIES, render.entry(F.col("rank"), age_hours(now))),
         _block(noted, AFTER, render.RULE), _block(noted, AFTER + 1, market), _block(noted, AFTER + 2, render.RULE),
-        _block(noted, AFTER + 3, F.col("scope")), _block(noted, AFTER + 4, render.LEGEND), _block(some, AFTER + 5, NO_MODEL),
+        _block(noted, AFTER + 3, F.col("scope")), _block(noted, AFTER + 4, render.LEGEND), _block(some.filter("NOT llm_ok"), AFTER + 5, NO_MODEL),
     ])
 
 

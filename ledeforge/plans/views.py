@@ -110,3 +110,57 @@ def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("chat_id")).filter(F.col("chat_id").isNotNull()).distinct()
     bits = F.array_compact(F.array(*(F.when(F.getbit("chat_id", F.lit(k)) == 1, F.lit(c)) for k, c in enumerate(V.CATEGORIES))))
     return users.select("chat_id", prefs.sane_categories(bits).alias("categories"), prefs.sane_depth(dealt(list(V.DEPTH_SPLITS), F.col("chat_id"))).alias("depth"))
+
+
+#: Entries of one poll, as the views deal documents to feeds.
+POLL_DOCS = 250
+TITLE_CHARS = r"[^\p{L}\p{N} ,.%$:-]"
+
+
+def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poll, label, body): documents as entries of feeds, RSS and Atom by turns; some entries have no date or no web address, and some bodies are missing."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("id"), "text", "lang")
+    kinds = len(V.FEEDS)
+    at = now() - F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.col("id") * 7919, F.lit(5000)).cast("int"))
+    title = F.regexp_replace(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), TITLE_CHARS, "")
+    link = F.concat(F.when(F.col("id") % 17 == 0, "ftp").otherwise("https"), F.lit("://example.com/d/"), F.col("id").cast("string"))
+    dated = F.col("id") % 13 != 0
+    blurb = F.concat(F.lit("&lt;p&gt;"), title, F.lit("&lt;/p&gt;  &amp; more"))
+    rss = F.concat(
+        F.lit("<item><title>"), title, F.lit("</title><link>"), link, F.lit("</link><description>"), blurb, F.lit("</description>"),
+        F.when(dated, F.concat(F.lit("<pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>"))).otherwise(""),
+        F.lit("<category>"), F.upper("lang"), F.lit("</category><category>Markets</category></item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry><title>"), title, F.lit('</title><link href="'), link, F.lit('"/><summary type="html">'), blurb, F.lit("</summary>"),
+        F.when(dated, F.concat(F.lit("<published>"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</published>"))).otherwise(""),
+        F.lit('<category term="'), F.upper("lang"), F.lit('"/><category term="Markets"/></entry>'),
+    )
+    feed = F.pmod("id", F.lit(kinds))
+    entries = d.select(F.floor(F.col("id") / POLL_DOCS).alias("poll"), feed.alias("feed"), "id", F.when(feed % 2 == 0, rss).otherwise(atom).alias("entry"))
+    # a poll has POLL_DOCS entries in all
+    joined = entries.groupBy("poll", "feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "entry"))), lambda e: e["entry"]), "").alias("all"))
+    whole = F.when(F.col("feed") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), F.col("all"), F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), F.col("all"), F.lit("</feed>")))
+    return joined.select("poll", dealt([f[0] for f in V.FEEDS], F.col("feed")).alias("label"), F.when((F.col("poll") + F.col("feed")) % 11 != 0, whole).alias("body"))
+
+
+def market_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poll, tickers, mood): answers of the market services as text, one poll a customer; some are broken."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("poll"))
+    n = F.col("poll")
+    coin = lambda name, price, change: F.concat(F.lit(f'{{"symbol": "{name}", "lastPrice": "'), price, F.lit('", "priceChangePercent": "'), change, F.lit('"}'))
+    num = lambda x: x.cast("string")
+    btc = coin("BTCUSDT", F.concat(num(n * 37 % 90000), F.lit(".5")), F.concat(num(n % 200 - 100), F.lit(".26")))
+    eth = coin("ETHUSDT", F.when(n % 5 == 0, "n/a").otherwise(num(n * 11 % 5000)), F.concat(num(n % 30), F.lit(".31")))
+    tickers = F.when(n % 7 == 0, "broken").otherwise(F.concat(F.lit("["), eth, F.lit(", "), coin("PEPEUSDT", F.lit("1"), F.lit("0")), F.lit(", "), btc, F.lit("]")))
+    mood = F.when(n % 3 == 0, "{}").otherwise(F.concat(F.lit('{"data": [{"value": "'), num(n % 101), F.lit('", "value_classification": "Greed & "}]}')))
+    return c.select("poll", tickers.alias("tickers"), mood.alias("mood"))
+
+
+def stored_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chat, value): a preference file for each user of ``events``; some have unknown names or don't parse."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("long").alias("chat")).filter(F.col("chat").isNotNull()).distinct()
+    bits = F.array_compact(F.array(F.lit("nonsense"), *(F.when(F.getbit("chat", F.lit(k)) == 1, F.lit(c)) for k, c in enumerate(V.CATEGORIES))))
+    depth = dealt([*V.DEPTH_SPLITS, "loud"], F.col("chat"))
+    body = F.to_json(F.create_map(F.col("chat").cast("string"), F.struct(bits.alias("categories"), depth.alias("depth"))))
+    return users.select("chat", F.when(F.col("chat") % 9 == 0, "{broken").otherwise(body).alias("value"))

@@ -31,7 +31,8 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path, by the session's configuration."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -54,7 +55,7 @@ def materialize(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFr
         df.write.parquet(path)
     finally:
         spark.conf.set(_ARROW_ROWS, before)
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledeforge_path = path
@@ -66,7 +67,7 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_ledeforge_path", None)
         if path:
-            fs, p = _hadoop(df.sparkSession, path)
+            fs, p = hadoop_path(df.sparkSession, path)
             fs.delete(p, True)
 
 

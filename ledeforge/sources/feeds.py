@@ -7,10 +7,11 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ledeforge.functions import vocabulary as V
 from ledeforge.functions.text import strip_html
@@ -25,8 +26,25 @@ ATOM = "struct<entry: array<struct<title: string, link: array<struct<_href: stri
 
 
 class _Feed(InputPartition):
-    def __init__(self, index: int, label: str, url: str):
-        self.index, self.label, self.url = index, label, url
+    def __init__(self, index: int, label: str, url: str, poll: int):
+        self.index, self.label, self.url, self.poll = index, label, url, poll
+
+
+def _feeds(options: dict, poll: int) -> list[InputPartition]:
+    """One partition a feed, so feeds are asked side by side and fail alone."""
+    override = options.get("urls")
+    urls = override.split("\n") if override else [f[1] for f in V.FEEDS]
+    return [_Feed(k, V.FEEDS[k][0] if k < len(V.FEEDS) else f"feed {k}", u, poll) for k, u in enumerate(urls)]
+
+
+def _asked(options: dict, feed: _Feed) -> Iterator[tuple]:
+    body = fetch(feed.url, float(options.get("timeout", FEED_TIMEOUT)))
+    yield feed.index, feed.label, body, feed.poll, datetime.now(UTC)
+
+
+def _poll(options: dict) -> int:
+    """The number of the present poll: whole intervals since the epoch."""
+    return int(time.time() // float(options.get("seconds", 60 * V.ALERT_POLL_MINUTES)))
 
 
 class FeedReader(DataSourceReader):
@@ -34,28 +52,50 @@ class FeedReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        """One partition a feed, so feeds are asked side by side and fail alone."""
-        override = self.options.get("urls")
-        urls = override.split("\n") if override else [f[1] for f in V.FEEDS]
-        return [_Feed(k, V.FEEDS[k][0] if k < len(V.FEEDS) else f"feed {k}", u) for k, u in enumerate(urls)]
+        return _feeds(self.options, _poll(self.options))
 
     def read(self, partition: _Feed) -> Iterator[tuple]:
-        yield partition.index, partition.label, fetch(partition.url, float(self.options.get("timeout", FEED_TIMEOUT)))
+        return _asked(self.options, partition)
+
+
+class FeedStreamReader(DataSourceStreamReader):
+    """Polls: the offset is the number of the last one. A query that was down asks once, for feeds show only what they have now."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"poll": int(self.options.get("after", _poll(self.options) - 1))}
+
+    def latestOffset(self) -> dict:
+        return {"poll": _poll(self.options)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return _feeds(self.options, end["poll"]) if end["poll"] > start["poll"] else []
+
+    def read(self, partition: _Feed) -> Iterator[tuple]:
+        return _asked(self.options, partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept for a poll that is done."""
 
 
 class FeedSource(DataSource):
-    """``spark.read.format("feeds")``: (feed_idx, label, body); the body of a feed that fails is null."""
+    """``spark.read.format("feeds")`` and ``spark.readStream.format("feeds")``: the body of a feed that fails is null."""
 
     @classmethod
     def name(cls) -> str:
         return "feeds"
 
     def schema(self) -> str:
-        return "feed_idx int, label string, body string"
+        return "feed_idx int, label string, body string, poll long, seen_at timestamp"
 
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
 
+    def streamReader(self, schema) -> FeedStreamReader:
+        return FeedStreamReader(dict(self.options))
+
 
 def fetch(url: str, timeout: float, attempts: int = ATTEMPTS) -> str | None:
     """The body behind ``url`` after up to ``attempts`` tries with growing waits, else null."""
@@ -96,33 +136,37 @@ def parse_time(published: Column, updated: Column, now: Column) -> Column:
 
 
 def _entries(bodies: DataFrame) -> DataFrame:
-    rss = F.from_xml("body", RSS)["channel"]["item"]
-    atom = F.from_xml("body", ATOM)["entry"]
-    shape = F.transform(
-        F.coalesce(atom, F.array().cast("array<struct<title: string, link: array<struct<_href: string>>, summary: string, content: string, published: string, updated: string, category: array<struct<_term: string>>>>")),
-        lambda e: F.struct(e["title"].alias("title"), F.get(e["link"], F.lit(0))["_href"].alias("link"), F.coalesce(e["summary"], e["content"]).alias("description"), e["published"].alias("pubDate"), e["updated"].alias("updated"), F.transform(e["category"], lambda c: c["_term"]).alias("category")),
-    )
-    items = F.coalesce(rss, shape)
-    return bodies.select("label", F.posexplode(items).alias("entry_idx", "e"))
+    """Entries by the root element: ``rss`` or ``feed``; a body of another kind has none."""
+    root = F.regexp_extract("body", r"<(rss|feed)\b", 1)
+    atom = F.transform(
+        F.from_xml("body", ATOM)["entry"],
+        lambda e: F.struct(
+            e["title"].alias("title"), F.get(e["link"], F.lit(0))["_href"].alias("link"), F.coalesce(e["summary"], e["content"]).alias("description"),
+            e["published"].alias("pubDate"), e["updated"].alias("updated"), F.transform(e["category"], lambda c: c["_term"]).alias("category"),
+        ),
+    )
+    items = F.when(root == "rss", F.from_xml("body", RSS)["channel"]["item"]).when(root == "feed", atom)
+    return bodies.select(*(c for c in bodies.columns if c != "body"), F.posexplode(items).alias("entry_idx", "e"))
 
 
 def parse_feeds(bodies: DataFrame, feeds: DataFrame, now: Column, cap: int = V.MAX_PER_SOURCE) -> DataFrame:
-    """Items with their ``reject`` reason from (label, body), in feed order.
+    """Items with their ``reject`` reason from (label, body, ...), in feed order; further columns, such as the poll, stay and part the runs.
 
     Entries without a title or an http address and those older than the feed's
-    window vanish uncounted; a source is read up to its ``cap``-th kept item.
-    A null or unreadable body has no items.
+    window vanish uncounted; a source is read up to its ``cap``-th kept item of
+    a run. A null or unreadable body has no items.
     """
-    e = _entries(bodies).join(feeds, "label")
+    keys = [c for c in bodies.columns if c not in ("label", "body", "feed_idx")]
+    e = _entries(bodies.select(*keys, "label", "body")).join(feeds, "label")
     title = F.regexp_replace(F.coalesce("e.title", F.lit("")), r"(?U)^\s+|\s+$", "")
     tags = F.filter(F.transform(F.coalesce("e.category", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
     items = e.select(
-        (F.col("feed_idx").cast("long") * 1_000_000 + F.col("entry_idx")).alias("seq"), title.alias("title"), F.trim(F.coalesce("e.link", F.lit(""))).alias("url"),
+        *keys, (F.col("feed_idx").cast("long") * 1_000_000 + F.col("entry_idx")).alias("seq"), title.alias("title"), F.trim(F.coalesce("e.link", F.lit(""))).alias("url"),
         F.col("label").alias("source"), parse_time(F.col("e.pubDate"), F.col("e.updated"), now).alias("published_at"), "bucket", "window_h",
         tags.alias("tags"), strip_html(F.col("e.description"), V.SUMMARY_CHARS).alias("summary"), F.lit(1).alias("source_count"),
     )
     fresh = within_window(well_formed(items), now, F.col("window_h")).drop("window_h")
-    return cap_per_source(fresh.withColumn("reject", reject_reason(F.col("title"), F.col("bucket"))), cap)
+    return cap_per_source(fresh.withColumn("reject", reject_reason(F.col("title"), F.col("bucket"))), cap, [*keys, "source"])
 
 
 # ---- fixed values: the demo set, (title, source, hours ago, tag, bucket) ----

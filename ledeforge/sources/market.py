@@ -4,38 +4,44 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeforge.functions import vocabulary as V
-from ledeforge.operators.prefs import parse_prefs, to_json
+from ledeforge.operators.prefs import parse_prefs, prefs_or_default, sane_categories, sane_depth
+from ledeforge.sources.keyed_log import KeyedLog
 
 TICKERS = "array<struct<symbol: string, lastPrice: string, priceChangePercent: string>>"
 MOOD = "struct<data: array<struct<value: string, value_classification: string>>>"
 
 
 def parse_tickers(bodies: DataFrame, col: str = "value") -> DataFrame:
-    """(ord, symbol, price, change_pct) of the known symbols; bodies that don't parse give no rows."""
-    rows = bodies.select(F.posexplode(F.from_json(col, TICKERS)).alias("ord", "r"))
+    """(other columns, ord, symbol, price, change_pct) of the known symbols; bodies that don't parse give no rows."""
+    keys = [c for c in bodies.columns if c != col]
+    rows = bodies.select(*keys, F.posexplode(F.from_json(col, TICKERS)).alias("ord", "r"))
     names = F.create_map(*(F.lit(x) for kv in V.SYMBOLS.items() for x in kv))
-    found = rows.select("ord", F.try_element_at(names, F.coalesce("r.symbol", F.lit(""))).alias("symbol"), F.expr("try_cast(r.lastPrice AS double)").alias("price"), F.expr("try_cast(r.priceChangePercent AS double)").alias("change_pct"))
+    found = rows.select(*keys, "ord", F.try_element_at(names, F.coalesce("r.symbol", F.lit(""))).alias("symbol"), F.expr("try_cast(r.lastPrice AS double)").alias("price"), F.expr("try_cast(r.priceChangePercent AS double)").alias("change_pct"))
     return found.filter(F.col("symbol").isNotNull() & F.col("price").isNotNull())
 
 
 def parse_mood(bodies: DataFrame, col: str = "value") -> DataFrame:
-    """(fear_greed, fear_greed_label) from the first element, else no row."""
-    first = F.get(F.from_json(col, MOOD)["data"], F.lit(0))
-    return bodies.select(F.expr("1").alias("one"), first.alias("d")).select(F.expr("try_cast(d.value AS int)").alias("fear_greed"), F.coalesce("d.value_classification", F.lit("")).alias("fear_greed_label")).filter(F.col("fear_greed").isNotNull())
+    """(other columns, fear_greed, fear_greed_label) from the first element, else no row."""
+    keys = [c for c in bodies.columns if c != col]
+    rows = bodies.select(*keys, F.get(F.from_json(col, MOOD)["data"], F.lit(0)).alias("d"))
+    return rows.select(*keys, F.expr("try_cast(d.value AS int)").alias("fear_greed"), F.coalesce("d.value_classification", F.lit("")).alias("fear_greed_label")).filter(F.col("fear_greed").isNotNull())
 
 
-def market_snapshot(tickers: DataFrame, mood: DataFrame) -> DataFrame:
-    """One row (prices, fear_greed, fear_greed_label); what failed is empty or null."""
-    prices = tickers.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "symbol", "price", "change_pct"))), lambda p: F.struct(p["symbol"].alias("symbol"), p["price"].alias("price"), p["change_pct"].alias("change_pct"))).alias("prices"))
-    return prices.join(mood.limit(1), F.lit(True), "left")
+def market_snapshot(tickers: DataFrame, mood: DataFrame, polls: DataFrame) -> DataFrame:
+    """(poll, prices, fear_greed, fear_greed_label) of every poll; what failed is empty or null. A poll's few prices keep the order of its body."""
+    price = lambda p: F.struct(p["symbol"].alias("symbol"), p["price"].alias("price"), p["change_pct"].alias("change_pct"))
+    prices = tickers.groupBy("poll").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "symbol", "price", "change_pct"))), price).alias("prices"))
+    moods = mood.groupBy("poll").agg(F.min_by(F.struct("fear_greed", "fear_greed_label"), "fear_greed").alias("m"))
+    none = F.array().cast("array<struct<symbol: string, price: double, change_pct: double>>")
+    rows = polls.select("poll").join(prices, "poll", "left").join(moods, "poll", "left")
+    return rows.select("poll", F.coalesce("prices", none).alias("prices"), F.col("m.fear_greed").alias("fear_greed"), F.col("m.fear_greed_label").alias("fear_greed_label"))
 
 
 def load_prefs(spark: SparkSession, path: str) -> DataFrame:
@@ -43,19 +49,23 @@ def load_prefs(spark: SparkSession, path: str) -> DataFrame:
     return parse_prefs(spark.read.text(path, wholetext=True))
 
 
-def save_prefs(prefs: DataFrame, path: str) -> None:
-    """Replaces the store: written beside it, then swapped in by renames."""
-    spark = prefs.sparkSession
-    whole = prefs.transform(to_json).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(F.concat(F.to_json(F.struct(F.col("chat_id").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("chat_id").alias("k")))) - 6), F.lit(":"), F.col("json")))), ","), F.lit("}")).alias("value"))
-    staging, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    whole.coalesce(1).write.text(staging)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(staging), p(path))
-    fs.delete(p(old), True)
+class PrefsStore:
+    """Preferences by chat, changed a chat at a time; what one writer sets for its chats stands beside what others set for theirs."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.log = KeyedLog(spark, path, "chat_id string, categories array<string>, depth string", ["chat_id"])
+
+    def update(self, prefs: DataFrame, at: Column | None = None) -> None:
+        """Sets the chats of ``prefs`` (chat_id, categories, depth), cleaned up as they are on reading."""
+        clean = prefs.select("chat_id", sane_categories(F.col("categories")).alias("categories"), sane_depth(F.col("depth")).alias("depth"))
+        self.log.put(clean, F.current_timestamp() if at is None else at)
+
+    def load(self) -> DataFrame:
+        return self.log.latest().drop("at")
+
+    def get(self, chats: DataFrame) -> DataFrame:
+        """Every chat of ``chats`` (chat_id) with its preferences, or the default."""
+        return prefs_or_default(chats, self.load())
 
 
 def push(messages: DataFrame, send: Callable[[str, str], None]) -> None:

@@ -89,16 +89,6 @@ def test_preferences(spark):
     assert p["2"]["categories"] == ["macro"] and p["2"]["depth"] == "data"
 
 
-def test_preference_store_round_trip(spark, tmp_path):
-    from ledeforge.sources.market import load_prefs, save_prefs
-
-    p = spark.createDataFrame([('a"b', ["macro"], "data"), ("2", ["flows", "security"], "analysis")], "chat_id string, categories array<string>, depth string")
-    path = f"{tmp_path}/prefs"
-    save_prefs(p, path)
-    save_prefs(p, path)
-    assert sorted(map(tuple, load_prefs(spark, path).select("chat_id", "depth").collect())) == [("2", "analysis"), ('a"b', "data")]
-
-
 def test_settings():
     from ledeforge.sources.market import Settings
 
