@@ -95,24 +95,28 @@ u2 AS (
 tok AS (
   SELECT page_id, host, path, list_distinct(list_filter([
     CASE WHEN regexp_extract(u, '^([A-Za-z]+)://', 1) <> '' THEN 'scheme=' || regexp_extract(u, '^([A-Za-z]+)://', 1) END,
-    CASE WHEN host <> '' THEN 'domain=' || hp[-1] END,
-    CASE WHEN len(hp) >= 2 THEN 'domain=' || array_to_string(hp[-2:], '.') END,
-    CASE WHEN len(hp) >= 3 THEN 'domain=' || array_to_string(hp[-3:], '.') END,
-    CASE WHEN hp[1] <> '' THEN 'label=' || hp[1] END,
-    'path0=' || pp[1], 'path1=' || pp[2],
     CASE WHEN regexp_extract(path, '\\.([A-Za-z]+)$', 1) <> '' THEN 'ending=' || regexp_extract(path, '\\.([A-Za-z]+)$', 1) END,
     CASE WHEN contains(u, '#') THEN 'fragment' END]
-    || list_transform(list_sort(list_distinct(regexp_extract_all(u, '[?&]([^=&#]+)', 1)))[1:3], lambda k: 'key=' || k), lambda x: x IS NOT NULL)) AS t
+    || list_transform(list_filter(list_transform(range(1, len(hp) + 1), lambda k: array_to_string(hp[k:], '.')), lambda x: x <> ''), lambda x: 'domain=' || x)
+    || list_transform(list_filter(hp[1:greatest(len(hp) - 2, 1)], lambda x: x <> ''), lambda x: 'label=' || x)
+    || list_transform(range(len(pp)), lambda k: 'path' || k || '=' || pp[k + 1])
+    || list_transform(regexp_extract_all(u, '[?&]([^=&#]+)', 1), lambda k: 'key=' || k), lambda x: x IS NOT NULL)) AS t
   FROM u2),
 mark AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-basket AS (SELECT list_sort(t) AS t, bad FROM tok JOIN mark ON page_id = doc_id),
-least_n AS (SELECT greatest(0.002, least(1.0, 5.0::DOUBLE / count(*))) * count(*) AS m FROM basket),
+basket AS (SELECT page_id, t, bad FROM tok JOIN mark ON page_id = doc_id),
+least_n AS (SELECT ceil(greatest(0.002 * count(*), least(count(*), 5))) AS m FROM basket),
+one AS (
+  SELECT token, count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad FROM (SELECT bad, unnest(t) AS token FROM basket)
+  GROUP BY token HAVING count(*) FILTER (WHERE bad) >= (SELECT m FROM least_n)),
+-- a set with a token that is a rule by itself adds nothing, nor does one with a token too rare to be in any
+few AS (SELECT page_id, bad, list(token ORDER BY token) AS t FROM (SELECT page_id, bad, unnest(t) AS token FROM basket) JOIN one USING (token) WHERE 2 * n_bad < n GROUP BY page_id, bad),
 sub AS (
   SELECT list_filter(t, lambda x, i: (b >> (i - 1)) & 1 = 1) AS items, bad
-  FROM (SELECT t, bad, unnest(range(1, (1 << len(t))::BIGINT)) AS b FROM basket)),
+  FROM (SELECT t, bad, unnest(range(1, (1 << len(t))::BIGINT)) AS b FROM few)),
 ruled AS (
+  SELECT [token] AS items FROM one WHERE 2 * n_bad >= n UNION ALL
   SELECT items FROM sub GROUP BY items
-  HAVING count(*) FILTER (WHERE bad) >= ceil((SELECT m FROM least_n)) AND (count(*) FILTER (WHERE bad)) / count(*) >= 0.5),
+  HAVING count(*) FILTER (WHERE bad) >= (SELECT m FROM least_n) AND 2 * count(*) FILTER (WHERE bad) >= count(*)),
 verdicts AS (SELECT t.*, EXISTS (SELECT 1 FROM ruled r WHERE list_has_all(t.t, r.items)) AS hit FROM tok t),
 fits AS (
   SELECT v.*, g.column2 || g.column3 AS rule, g.column1 AS act
