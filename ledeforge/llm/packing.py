@@ -26,10 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledeforge.llm.workers import tidy
 from ledeforge.runtime import materialize
 
 MAX_TOKENS = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 64
 #: Weights of tokens, documents and attention in the production queries; they reach the token lower bound of sequences on the given tables.
 PACK_WEIGHTS = (1.0, 0.5, 0.5)
@@ -122,7 +123,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids"]).astype({"piece": "int32", "start": "int64", "length": "int64"})
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return src.mapInPandas(tidy(cut), f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 def plan_bins(counts: dict[int, int], max_tokens: int = MAX_TOKENS, max_docs: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), score: str = "dot") -> list[tuple[int, list[tuple[int, int]]]]:

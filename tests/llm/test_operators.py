@@ -540,3 +540,55 @@ def test_planted_near_copies_are_found(spark):
     found = [len(spans[a, b] & set(range(lo, lo + n))) >= 0.8 * n for a, b, lo, n in want]
     assert len(found) > 80 and sum(found) >= 0.95 * len(found), (sum(found), len(found))
     print("recall", sum(found), len(found))
+
+
+def test_rows_that_repeat_an_id_link_by_their_own_texts(spark):
+    from ledeforge.llm.jaccard_join import jaccard_components
+
+    rng = random.Random(21)
+    text = lambda: [f"v{rng.randrange(5000)}" for _ in range(120)]
+    a, b = text(), text()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, near(b)), (3, near(a)), (5, " ".join(a)), (9, "")] + [(7, " ".join(text())) for _ in range(40)]
+    rows += [(7, near(b)), (None, " ".join(a))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] is not None)
+    assert got == sorted([(5, 3), (5, 2), (2, 2), (3, 3), (5, 3), (9, 9), (7, 2)] + [(7, 7)] * 40)
+
+
+def test_the_last_pass_compares_where_rows_meet(spark):
+    """Families just below the threshold: bitmaps let pairs through that sets refute, and links hide among them."""
+    from ledeforge.llm import jaccard_join as J
+
+    rng, rows = random.Random(23), []
+    vocab = [f"w{k}" for k in range(3000)]
+    for family in range(3):
+        base = [rng.choice(vocab) for _ in range(260)]
+        for _ in range(50):
+            w = list(base)
+            for at in rng.sample(range(260), rng.choice([4, 5, 6])):
+                w[at] = rng.choice(vocab)
+            rows.append((len(rows) * 3, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            p, q = find(i), find(j)
+            root[max(p, q)] = min(p, q)
+    want = {rows[k][0]: rows[find(k)][0] for k in range(len(rows))}
+    passes, plain = [], J._apart
+    J._apart = lambda *a: (passes.append(len(a)), plain(*a))[1]
+    keep = J.BLOCK, J.BLOCK_SHINGLES
+    try:
+        for block, shingles_ in ((2048, 1 << 20), (16, 3000)):
+            J.BLOCK, J.BLOCK_SHINGLES = block, shingles_
+            got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == want
+    finally:
+        J._apart, (J.BLOCK, J.BLOCK_SHINGLES) = plain, keep
+    assert 5 in passes and len(set(want.values())) < len(rows)  # the pass with sets has run
