@@ -16,6 +16,13 @@ share their one minimum, in blocks of bounded size: bitmaps of what stands
 around c rule most out, the others are compared exactly, and the first that is
 alike ends the search. So no family of passages is expanded into all its pairs,
 and two functions must agree only for documents that no third one brings up.
+
+Long lists, such as a common phrase makes, are filed anew before that, by the
+minimum together with the rarest shingles around it. A run that is alike to
+another shares ``PERCENT`` hundredths of its shingles with it, so of any few more
+than it may miss, one is shared. A node asks for the rarest of each run about its
+minimum and meets all nodes of its list that have one of them: no partner is lost,
+and those that have only the phrase in common don't meet.
 """
 
 from __future__ import annotations
@@ -35,8 +42,8 @@ from ledeforge.runtime import bounded_broadcast, input_partitions, materialize,
 HASHES = 4
 #: Functions that must agree with one, on a run that is to be looked up by that one alone.
 ENOUGH = 2
-#: Lists up to this length are looked up by one function; longer ones, which phrases make that many texts have, only by the joins of two.
-LONG = 512
+#: Lists up to this length are looked through as they are; longer ones are filed anew by rare shingles. Both find the same partners.
+LONG = 256
 MIN_WORDS = 50
 PERCENT = 80
 #: Alignments that differ by fewer words belong to one run.
@@ -353,6 +360,66 @@ def _around(members: DataFrame, shingles: DataFrame, width: int, percent: int, s
     return dealt.mapInPandas(pairs, "a long, b long, shift long, ca long, cb long, left long, right long, fn long, more boolean")
 
 
+def _cells(rows: DataFrame, shingles: DataFrame, width: int) -> DataFrame:
+    """(row, open, at, cell): what stands around the minimum of each row, a place and its shingle, hashed with the row's list."""
+    lo = F.greatest(F.col("c") - width, F.lit(0))
+    near = F.substring(F.col("s"), (lo * 4 + 1).cast("int"), ((F.col("c") + width - lo + 1) * 4).cast("int"))
+    seen = rows.join(shingles, "id").select("row", "open", "key", near.alias("near"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            flat = [np.frombuffer(s, np.uint32) for s in b["near"]]
+            size = np.array([len(x) for x in flat])
+            key = np.repeat(b["key"].to_numpy(np.int64).view(np.uint64), size)
+            yield pd.DataFrame({
+                "row": np.repeat(b["row"].to_numpy(np.int64), size), "open": np.repeat(b["open"].to_numpy(bool), size),
+                "at": np.concatenate([np.arange(n, dtype=np.int32) for n in size]), "cell": mixed(key + mixed(np.concatenate(flat).astype(np.uint64))).view(np.int64),
+            })
+
+    return seen.mapInPandas(each, "row long, open boolean, at int, cell long")
+
+
+def rarest(cells: np.ndarray, often: np.ndarray, middle: int, width: int, percent: int) -> np.ndarray:
+    """Of each run of ``width`` places about ``middle``, the rarest cells, as many as any alike run must share one of; those that stand elsewhere too."""
+    rank = np.unique(np.stack([often, cells]), axis=1, return_inverse=True)[1].ravel()
+    at, chosen = range(max(0, middle - width + 1), min(middle, len(cells) - width) + 1), []
+    for x in at:
+        run = np.unique(rank[x : x + width])
+        chosen.append(run[: len(run) - -(-percent * len(run) // 100) + 1])
+    if not chosen:
+        return np.zeros(0, dtype=np.int64)
+    held = np.isin(rank, np.concatenate(chosen)) & (often > 1)
+    return np.unique(cells[held])
+
+
+def _filed_anew(members: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
+    """``members`` of long lists, filed by a cell instead of their list: open ones, as such, where they ask for it, and all where they have it."""
+    rows = materialize(members.withColumn("row", F.monotonically_increasing_id()), "passage-long")
+    cells = materialize(_cells(rows, shingles, width), "passage-cells")
+    # a cell that one row has, or no open one, brings nobody together
+    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often"), F.max("open").alias("open")).filter(F.col("open") & (F.col("often") > 1)).select("cell", "often")
+    around = cells.filter("open").join(materialize(often, "passage-often"), "cell", "left").join(rows.select("row", "c"), "row")
+    around = around.select("row", "at", "cell", F.coalesce("often", F.lit(1)).alias("often"), F.least("c", F.lit(width)).alias("middle"))
+
+    def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in group_arrays(batches, ["row"], ["at", "cell", "often", "middle"], least=width):
+            order = np.argsort(g["at"])
+            cell = rarest(g["cell"][order], g["often"][order].astype(np.int64), int(g["middle"][0]), width, percent)
+            if len(cell):
+                yield pd.DataFrame({"cell": cell, "row": np.full(len(cell), g["row"][0])})
+
+    dealt = around.repartition(input_partitions(members.sparkSession), "row").sortWithinPartitions("row")
+    asked = materialize(dealt.mapInPandas(asks, "cell long, row long"), "passage-asked")
+    have = cells.select("cell", "row").distinct().join(asked.select("cell").distinct(), "cell", "left_semi")
+    mine = asked.withColumn("asks", F.lit(True))
+    filed = have.join(mine, ["cell", "row"], "left").join(rows.drop("key", "open"), "row")
+    out = materialize(filed.select(F.col("cell").alias("key"), "id", "l", "c", "r", "fn", F.coalesce("asks", F.lit(False)).alias("open")), "passage-anew")
+    release(rows, cells, asked)
+    return out
+
+
 def _unexplained(members: DataFrame, passages: DataFrame) -> DataFrame:
     """``members`` whose ``open`` is kept only where no passage found, as the later of the two, holds their minimum."""
     spans = passages.select(F.col("b").alias("id"), F.struct(F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")).alias("s")).groupBy("id").agg(F.collect_set("s").alias("spans"))
@@ -375,8 +442,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Positions count words from 0. A passage has ``min_words`` words or more,
     and its set of 5-word shingles has similarity ``percent`` hundredths or more
     with that of the passage named beside it, which stands in a document with a
-    smaller id: the smallest that shares the minimum by which they met. Shingles
-    are compared by 32-bit hashes within a pair. Null, empty and short texts
+    smaller id: the smallest that shares the minimum by which they met. That other
+    passage may be shorter, by as much as the similarity allows. Shingles are
+    compared by 32-bit hashes within a pair. Null, empty and short texts
     have no passages; rows with a null id are left out, and rows that repeat an
     id are not compared with each other.
     """
@@ -441,11 +509,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # rows whose minimum lies in a passage found are explained, and the smallest id of a list has none before it
     opened = materialize(_unexplained(single.withColumn("open", F.col("rich") & (F.col("id") != F.col("pivot"))), first).drop("rich", "pivot"), "passage-opened")
     release(joint)
-    asked = opened.groupBy("key").agg(F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.count(F.lit(1)).alias("g")).filter(F.col("last").isNotNull() & (F.col("g") <= LONG))
-    members = materialize(opened.join(asked, "key").filter(F.col("id") <= F.col("last")).drop("last", "g"), "passage-members")
+    asked = opened.groupBy("key").agg(F.max(F.when(F.col("open"), F.col("id"))).alias("last"), F.count(F.lit(1)).alias("g")).filter(F.col("last").isNotNull())
+    listed = materialize(opened.join(asked, "key").filter(F.col("id") <= F.col("last")).drop("last"), "passage-listed")
     release(opened)
     settle(spark)
-    shingles = shingles.unionByName(texts_of(members.select("id").join(bounded_broadcast(shingles.select("id")), "id", "left_anti")))
+    shingles = shingles.unionByName(texts_of(listed.select("id").join(bounded_broadcast(shingles.select("id")), "id", "left_anti")))
+    members = listed.filter(F.col("g") <= LONG).drop("g")
+    members = members.unionByName(_filed_anew(listed.filter(F.col("g") > LONG).drop("g"), shingles, width, percent))
     out = functools.reduce(DataFrame.union, _retried(members, shingles, width, percent), first)
     best = out.groupBy("b", "b_lo", "b_hi").agg(F.min(F.struct("a", "a_lo", "a_hi", "sim")).alias("m"))
     words = WIDTH
@@ -461,9 +531,12 @@ def _filed(ids: list[int], texts: list[np.ndarray], width: int, reach: int) -> p
     gaps = np.concatenate([[0], np.cumsum([len(s) + 1 for s in texts[1::2]])])
     names, parts = np.array(ids, dtype=np.int64), []
     for fn in range(HASHES):
-        h = np.maximum(mixed(x ^ _SALT[fn]), np.uint64(1))
+        h = mixed(x ^ _SALT[fn])
+        # the trees go by the upper halves, which vectors compare in one step; keys are whole
+        order = np.maximum(h.view(np.uint32)[1::2], np.uint32(1))
+        order[gaps] = 0
         h[gaps] = 0
-        l, c, r = _nodes(h, width)
+        l, c, r = _nodes(order, width)
         # a minimum that stands again a few words on repeats its neighbours too: runs from it have the shingles of runs from the first
         first = (h[l - 1] != h[c]) | (c - l >= NEARBY)
         l, c, r = l[first], c[first], r[first]
