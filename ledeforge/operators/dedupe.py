@@ -46,11 +46,14 @@ def edges_cosine(items: DataFrame, threshold: float = V.DEDUPE_THRESHOLD) -> Dat
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("batch", "seq").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
     keys = w.join(df, ["batch", "term"]).withColumn("rest", rest).filter(F.sqrt("rest") >= threshold - 1e-6).select("batch", "term", "seq")
     met = keys.withColumnRenamed("seq", "a").join(keys.withColumnRenamed("seq", "b"), ["batch", "term"]).filter(F.col("a") < F.col("b")).select("batch", "a", "b").distinct()
-    left = w.select("batch", "term", F.col("seq").alias("a"), F.col("w").alias("wa"))
-    right = w.select("batch", "term", F.col("seq").alias("b"), F.col("w").alias("wb"))
-    both = met.join(left, ["batch", "a"]).join(right, ["batch", "b", "term"])
+    # a title's vector is one cell, so a pair costs two look-ups of rows and no shuffle of its terms
+    vectors = w.groupBy("batch", "seq").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "w")).alias("v"))
+    vectors = materialize(vectors.withColumn("v", F.array_sort("v")), "vectors")
+    side = lambda x: vectors.select("batch", F.col("seq").alias(x), F.col("v").alias(f"v{x}"))
+    both = met.join(side("a"), ["batch", "a"]).join(side("b"), ["batch", "b"]).withColumn("mb", F.map_from_entries("vb"))
+    product = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(F.col("mb"), x["t"]), F.lit(0.0)))
     # sums of floats depend on their order in the last digits
-    return both.groupBy("batch", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).filter(F.round("cosine", 9) >= threshold)
+    return both.select("batch", "a", "b", product.alias("cosine")).filter(F.round("cosine", 9) >= threshold)
 
 
 def with_entities(items: DataFrame) -> DataFrame:
@@ -80,13 +83,13 @@ def _sharing(e: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("named", F.array_except("shared", _generic())).filter(F.size("named") > 0)
 
 
-def edges_same_event(items: DataFrame) -> DataFrame:
+def edges_same_event(items: DataFrame, e: DataFrame | None = None) -> DataFrame:
     """(batch, a, b): two entities or more shared, not all generic, and at least half of all.
 
     Sets that share half of all have one of their rarer halves' entities in
     common, so only those are joined.
     """
-    e = materialize(with_entities(items), "entities")
+    e = materialize(with_entities(items), "entities") if e is None else e
     each = e.select("batch", "seq", F.size("ents").alias("m"), F.explode("ents").alias("entity"))
     df = each.groupBy("batch", "entity").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("batch", "seq").orderBy("df", "entity"))
@@ -94,12 +97,12 @@ def edges_same_event(items: DataFrame) -> DataFrame:
     return _sharing(e, keys).filter((F.size("shared") >= 2) & (F.size("shared") / F.size(F.array_union("ea", "eb")) >= 0.5)).select("batch", "a", "b")
 
 
-def edges_rare(items: DataFrame) -> DataFrame:
+def edges_rare(items: DataFrame, e: DataFrame | None = None) -> DataFrame:
     """(batch, a, b): every shared entity that isn't generic is rare, and a content word beyond them is shared.
 
     Such pairs share a rare entity, so only rare ones are joined, in lists no longer than the ceiling.
     """
-    e = materialize(with_entities(items), "entities")
+    e = materialize(with_entities(items), "entities") if e is None else e
     n = e.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select("batch", rarity_ceiling(F.col("n")).alias("ceiling"))
     each = e.select("batch", "seq", F.explode(F.array_except("ents", _generic())).alias("entity"))
     rare = each.groupBy("batch", "entity").agg(F.count(F.lit(1)).alias("df")).join(n, "batch").filter(F.col("df") <= F.col("ceiling")).select("batch", "entity")
@@ -112,7 +115,8 @@ def edges_rare(items: DataFrame) -> DataFrame:
 
 def clusters(items: DataFrame, threshold: float = V.DEDUPE_THRESHOLD) -> DataFrame:
     """(batch, seq, cluster): the smallest seq that any detector's edges reach. ``seq`` is unique."""
-    edges = edges_cosine(items, threshold).select("a", "b").union(edges_same_event(items).select("a", "b")).union(edges_rare(items).select("a", "b"))
+    e = materialize(with_entities(items), "entities")
+    edges = edges_cosine(items, threshold).select("a", "b").union(edges_same_event(items, e).select("a", "b")).union(edges_rare(items, e).select("a", "b"))
     comps = connected_components(edges)
     return items.select("batch", "seq").join(comps.withColumnRenamed("node", "seq"), "seq", "left").select("batch", "seq", F.coalesce("component", "seq").alias("cluster"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeforge.functions import vocabulary as V
@@ -31,6 +31,11 @@ class RankingRun:
     signature: tuple
 
 
+def by_score():
+    """The order of a run's few selected items."""
+    return Window.orderBy(F.desc("score"), "bucket_ord", "seq")
+
+
 def limits(bucket: Column) -> tuple[Column, Column]:
     """(min, max) of a bucket; unknown buckets have macro's."""
     lo, hi = (F.when(bucket == "crypto", V.LIMITS["crypto"][k]).otherwise(V.LIMITS["macro"][k]) for k in (0, 1))

@@ -198,3 +198,39 @@ def test_feeds_as_a_stream_of_polls(spark, tmp_path):
     q = alerts.poll(stream, lambda df, k: seen.append(df.collect()), f"{tmp_path}/cp")  # within the same poll nothing is asked again
     q.awaitTermination(120)
     assert sum(1 for rows in seen if rows) == 1
+
+
+def test_digests_are_due_once_a_day(capsys):
+    from datetime import UTC, datetime, timedelta
+
+    from ledeforge.plans.schedule import next_digest, serve
+    from ledeforge.sources.market import Settings
+
+    s = Settings.load({"DIGEST_TIME": "08:30", "DIGEST_TZ": "Asia/Hong_Kong"})
+    utc = lambda *a: datetime(*a, tzinfo=UTC)
+    assert next_digest(utc(2026, 1, 1, 0, 0), s) == utc(2026, 1, 1, 0, 30)
+    assert next_digest(utc(2026, 1, 1, 0, 30), s) == utc(2026, 1, 2, 0, 30)
+    ny = Settings.load({"DIGEST_TIME": "2:30", "DIGEST_TZ": "America/New_York"})
+    assert next_digest(utc(2026, 3, 7, 12, 0), ny) - utc(2026, 3, 8, 0, 0) < timedelta(hours=9)  # the night that the clock skips it
+    now, seen = [utc(2026, 1, 1, 0, 0)], []
+
+    def nap(seconds):
+        now[0] += timedelta(seconds=seconds)
+
+    def digest(at):
+        seen.append(("digest", at))
+        now[0] += timedelta(hours=1)  # a long run
+        raise OSError("and a broken one")
+
+    ran = serve(digest, lambda at: seen.append(("alerts", at)), s, utc(2026, 1, 1, 2, 0), lambda: now[0], nap)
+    assert ran == len(seen) and [w for w, _ in seen].count("digest") == 1
+    assert [at.minute for w, at in seen if w == "alerts"][:3] == [1, 16, 30]
+    assert "a run failed" in capsys.readouterr().out
+
+
+def test_command_line(spark, capsys):
+    from ledeforge.__main__ import main
+
+    assert main(["--demo", "--categories", "macro, nonsense", "--depth", "data"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Fed holds rates steady" in out and "Solana" not in out and "█" in out
