@@ -49,6 +49,9 @@ class PairMerger:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs.setdefault(self.number[left] << self.BITS | self.number[right], (rank, self.number[left + right]))
+        whole_alphabet = [chr(b) for b in _SELF] + [chr(c) for c in BYTE_LEVEL.values()]
+        if any(c + end not in self.number for c in whole_alphabet for end in {"", self.suffix}):
+            raise ValueError(f"{path}: a byte has no symbol, and unknown symbols are not supported")
         self.special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
         whole = Tokenizer.from_file(path)
         self.normalizer, self.pre = whole.normalizer, whole.pre_tokenizer
