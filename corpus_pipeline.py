@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, lines, near copies, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before
-has kept, and is written before the next reads it.
+has kept, and is written before the next reads it. An empty table passes
+through as one. Columns beyond those of documents stay until packing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from ``labels``, doesn't reject."""
+    """Documents that the classifier, learned from ``labels``, doesn't reject. Null texts score as empty ones, rows that repeat an id each by their own; without labels nothing is rejected."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_scores(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
 
@@ -34,19 +35,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents."""
+    """The document with the smallest id of each group of linked documents.
+
+    Rows that repeat an id go together: all of them if any is linked to a smaller
+    id, else all stay. Null ids and texts without words are linked with nothing and stay.
+    """
     groups = jaccard_components(docs)
     copies = materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
     return docs.join(bounded_broadcast(copies), "doc_id", "left_anti").select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none; of rows that repeat an id, those go whose own text does."""
     return decontaminate(docs, find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences. A null text is one piece with the end id alone; repeated rows are pieces of their own."""
     import public_tokenizers
 
     packed = pack(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), keep_ids=False, weights=PACK_WEIGHTS)

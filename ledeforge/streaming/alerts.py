@@ -168,7 +168,9 @@ def alert_stream(events: DataFrame, threshold: float = V.ALERT_THRESHOLD, late:
     store (``rocksdb_state``).
     """
     initial = None if marked is None else marked.select("key", F.unix_micros("marked_at").alias("at")).groupBy("key")
-    rows = events.select("key", "kind", "score", "ts").withWatermark("ts", late).groupBy("key")
+    rows = events.select("key", "kind", "score", "ts").withWatermark("ts", late)
+    # the others change no state; they have moved the watermark by now
+    rows = rows.filter((F.col("kind") == "digest") | (F.col("score") >= threshold)).groupBy("key")
     return rows.transformWithStateInPandas(Guard(threshold), "key string, score double, ts timestamp", "Append", "EventTime", initialState=initial)
 
 

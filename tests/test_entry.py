@@ -11,7 +11,7 @@ def test_catalogue():
     assert len(q) > 60
 
 
-@pytest.mark.parametrize("name", ["score_balanced", "edges_rare", "multi_reader_ranking", "alert_dedup_48h"])
+@pytest.mark.parametrize("name", ["score_balanced", "edges_rare", "multi_reader_ranking", "alert_dedup_48h", "top_messages", "digest_chain", "why_messages", "rss_parse", "feed_health", "market_snapshot", "prefs_toggle", "cache_hits"])
 def test_query_against_sql(spark, sf, name):
     import os
 

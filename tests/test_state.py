@@ -234,3 +234,40 @@ def test_command_line(spark, capsys):
     assert main(["--demo", "--categories", "macro, nonsense", "--depth", "data"], spark) == 0
     out = capsys.readouterr().out
     assert "Fed holds rates steady" in out and "Solana" not in out and "█" in out
+
+
+def test_chats_share_rankings_until_they_change_their_settings(spark, tmp_path):
+    from ledeforge.operators.readers import rank_signatures
+    from ledeforge.plans import ranking, requests
+    from ledeforge.sources.market import PrefsStore
+
+    items = spark.createDataFrame([(k, f"Story {k}", ["macro", "flows"][k % 2], "crypto", None, *([k / 20] * 8)) for k in range(12)], "seq long, title string, category string, bucket string, subject string, " + ", ".join(f"raw_{f} double" for f in V.FACTOR_WEIGHTS))
+    asked_for = []
+
+    def rank(signs):
+        asked_for.append(sorted(r["signature"] for r in signs.collect()))
+        return rank_signatures(items, signs, *ranking.limits(F.col("bucket")))
+
+    store, cache = PrefsStore(spark, f"{tmp_path}/prefs"), RankingCache(spark, f"{tmp_path}/cache")
+    store.update(spark.createDataFrame([("1", ["macro"], "data"), ("2", ["macro"], "data"), ("3", ["flows"], "data")], "chat_id string, categories array<string>, depth string"), at("2026-01-01"))
+    chats = spark.createDataFrame([("1",), ("2",), ("3",), ("9",), ("1",)], "chat_id string")
+
+    def get(now):
+        out = {}
+        for r in requests.rankings(chats, store, cache, rank, at(now)).orderBy("chat_id", "rank").collect():
+            out.setdefault((r["chat_id"], r["hit"]), []).append(r["seq"])
+        return out
+
+    everything = f"{','.join(sorted(V.CATEGORIES))}|balanced"
+    first = get("2026-01-01 00:00:00")
+    assert first[("1", False)] == first[("2", False)] == [10, 8, 6, 4, 2, 0] and first[("3", False)][0] == 11 and first[("9", False)] == [11, 10, 9, 8, 7, 6]
+    assert asked_for == [sorted(["flows|data", everything, "macro|data"])]
+    assert {k[1] for k in get("2026-01-01 00:19:00")} == {True} and len(asked_for) == 1
+    act = lambda *r: spark.createDataFrame(r, "chat_id string, action string")
+    assert requests.change_settings(act(("1", "nonsense"), ("2", "depth:data"), ("3", "cat:bogus")), store, cache, at("2026-01-01 00:19:10")).count() == 0
+    changed = requests.change_settings(act(("1", "cat:flows"), ("2", "cat:macro")), store, cache, at("2026-01-01 00:19:20")).collect()
+    # a chat that turns its last category off has all of them
+    assert {r["chat_id"]: r["categories"] for r in changed} == {"1": ["flows", "macro"], "2": sorted(V.CATEGORIES)}
+    again = get("2026-01-01 00:19:30")
+    assert again[("1", False)] == first[("9", False)] and ("2", False) in again and again[("3", True)] == first[("3", False)]
+    assert {k[1] for k in get("2026-01-01 00:20:00")} == {True, False}  # the first rankings are too old now, the others are not
