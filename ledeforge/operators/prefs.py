@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledeforge.functions import vocabulary as V
-from ledeforge.functions.scoring import FACTORS, weights_for
-from ledeforge.runtime import bounded_broadcast
 
 DEPTHS = tuple(V.DEPTH_SPLITS)
 SCHEMA = "map<string, struct<categories: array<string>, depth: string>>"
@@ -58,27 +56,6 @@ def to_json(prefs: DataFrame) -> DataFrame:
     return prefs.select("chat_id", F.to_json(F.struct(F.sort_array("categories").alias("categories"), "depth")).alias("json"))
 
 
-def score_readers(factors: DataFrame, prefs: DataFrame) -> DataFrame:
-    """Items with raw factors, scored for every reader under their categories and depth.
-
-    Factors are computed once. Readers come as an array beside each item by way
-    of their depths, of which there are three, and categories; ``prefs`` is the
-    small side, broadcast up to a counted bound.
-    """
-    weights = {d: weights_for(d) for d in DEPTHS}
-    score = F.lit(None).cast("double")
-    for d in DEPTHS:
-        w, s = weights[d], F.lit(0.0)
-        for n in FACTORS:
-            s = s + F.lit(w[n]) * F.col(f"raw_{n}")
-        score = F.when(F.col("depth") == d, s / F.lit(sum(w.values()))).otherwise(score)
-    full = F.size("categories") == len(V.CATEGORIES)
-    # a reader of everything meets every item, the others theirs: an equi-join on the category, or on nothing at all
-    wants = prefs.select("chat_id", "depth", F.explode(F.when(full, F.array(F.lit("*"))).otherwise(F.col("categories"))).alias("want"))
-    offers = factors.withColumn("want", F.explode(F.array_compact(F.array(F.lit("*"), F.col("category")))))
-    return offers.join(bounded_broadcast(wants), "want").withColumn("score", score).drop("want")
-
-
 def depth_coverage(selected: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, numeric, analysis): selected items that carry figures and framing."""
     carries = lambda n: F.count_if(F.col(f"raw_{n}") > 0).alias(n)

@@ -11,7 +11,7 @@ from ledeforge.functions import render, text
 from ledeforge.functions import vocabulary as V
 from ledeforge.functions.scoring import FACTORS, breakdown, classify, primary_subject, title_and_tags, top_drivers, total, weakest, weights_for, with_factors
 from ledeforge.operators import dedupe, filters, prefs, select, stats
-from ledeforge.operators.readers import rank_signatures, signature_pools, signatures
+from ledeforge.operators.readers import rank_signatures, signature, signature_pools, signatures
 from ledeforge.plans import message_sql as msql
 from ledeforge.plans import messages, ranking, sql, views
 from ledeforge.runtime import materialize
@@ -346,10 +346,6 @@ def _readers(spark):
     return p.select("chat_id", prefs.sane_categories(F.col("categories")).alias("categories"), prefs.sane_depth(F.col("depth")).alias("depth"))
 
 
-def _reader_rows(spark, sf_dir):
-    return prefs.score_readers(_factors(spark, sf_dir), _readers(spark))
-
-
 def _reader_sql() -> str:
     parts = []
     for chat, cats, depth in READERS:
@@ -360,7 +356,9 @@ def _reader_sql() -> str:
 
 def _reader_picks(spark, sf_dir):
     lo, hi = ranking.limits(F.col("bucket"))
-    return select.select_top(_reader_rows(spark, sf_dir).withColumns({"_lo": lo, "_hi": hi}), ["chat_id", "bucket"], F.col("_lo"), F.col("_hi"))
+    readers = _readers(spark)
+    named = readers.select("chat_id", signature(F.col("categories"), F.col("depth")).alias("signature"))
+    return rank_signatures(_factors(spark, sf_dir), signatures(readers), lo, hi).join(named, "signature")
 
 
 @query(f"{_reader_sql()} SELECT chat_id, bucket, pick, seq, round(score + 1e-9, 6) AS score FROM sel")
