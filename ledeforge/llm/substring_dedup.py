@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from ledeforge.llm.grouped import group_arrays
 from ledeforge.llm.shingles import WIDTH, mixed, shingle_list
+from ledeforge.llm.workers import tidy
 from ledeforge.runtime import bounded_broadcast, input_partitions, materialize, release, settle
 
 HASHES = 4
 #: Functions that must agree with one, on a run that is to be looked up by that one alone.
 ENOUGH = 2
 #: Lists up to this length are looked through as they are; longer ones are filed anew by rare shingles. Both find the same partners.
-LONG = 256
+LONG = 512
 MIN_WORDS = 50
 PERCENT = 80
 #: Alignments that differ by fewer words belong to one run.
@@ -241,7 +242,7 @@ def _pairs(meets: DataFrame, enough: int) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     dealt = meets.repartition(input_partitions(meets.sparkSession), "a", "b").sortWithinPartitions("a", "b")
-    return dealt.mapInPandas(joined, "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long")
+    return dealt.mapInPandas(tidy(joined), "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long")
 
 
 def _exact(runs: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
@@ -261,7 +262,7 @@ def _exact(runs: DataFrame, shingles: DataFrame, width: int, percent: int) -> Da
             if out:
                 yield pd.DataFrame(out, columns=["a", "a_lo", "a_hi", "b", "b_lo", "b_hi", "sim"])
 
-    return with_a.mapInPandas(compare, "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long, sim double")
+    return with_a.mapInPandas(tidy(compare), "a long, a_lo long, a_hi long, b long, b_lo long, b_hi long, sim double")
 
 
 def _around(members: DataFrame, shingles: DataFrame, width: int, percent: int, start: int, stop: int, exact: bool = False) -> DataFrame:
@@ -357,28 +358,26 @@ def _around(members: DataFrame, shingles: DataFrame, width: int, percent: int, s
             yield pd.DataFrame(out, columns=cols)
 
     dealt = rows.repartition(input_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(pairs, "a long, b long, shift long, ca long, cb long, left long, right long, fn long, more boolean")
+    return dealt.mapInPandas(tidy(pairs), "a long, b long, shift long, ca long, cb long, left long, right long, fn long, more boolean")
 
 
-def _cells(rows: DataFrame, shingles: DataFrame, width: int) -> DataFrame:
-    """(row, open, at, cell): what stands around the minimum of each row, a place and its shingle, hashed with the row's list."""
-    lo = F.greatest(F.col("c") - width, F.lit(0))
-    near = F.substring(F.col("s"), (lo * 4 + 1).cast("int"), ((F.col("c") + width - lo + 1) * 4).cast("int"))
-    seen = rows.join(shingles, "id").select("row", "open", "key", near.alias("near"))
+def _cells(rows: DataFrame, places: bool) -> DataFrame:
+    """(row, open, cell, at) of what stands around the minimum of each row: shingles, hashed with the row's list; each once a row, or all with their ``places``."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             flat = [np.frombuffer(s, np.uint32) for s in b["near"]]
+            flat = flat if places else [np.unique(x) for x in flat]
             size = np.array([len(x) for x in flat])
             key = np.repeat(b["key"].to_numpy(np.int64).view(np.uint64), size)
             yield pd.DataFrame({
                 "row": np.repeat(b["row"].to_numpy(np.int64), size), "open": np.repeat(b["open"].to_numpy(bool), size),
-                "at": np.concatenate([np.arange(n, dtype=np.int32) for n in size]), "cell": mixed(key + mixed(np.concatenate(flat).astype(np.uint64))).view(np.int64),
+                "cell": mixed(key + mixed(np.concatenate(flat).astype(np.uint64))).view(np.int64), "at": np.concatenate([np.arange(n, dtype=np.int32) for n in size]),
             })
 
-    return seen.mapInPandas(each, "row long, open boolean, at int, cell long")
+    return rows.select("row", "open", "key", "near").mapInPandas(tidy(each), "row long, open boolean, cell long, at int")
 
 
 def rarest(cells: np.ndarray, often: np.ndarray, middle: int, width: int, percent: int) -> np.ndarray:
@@ -396,11 +395,17 @@ def rarest(cells: np.ndarray, often: np.ndarray, middle: int, width: int, percen
 
 def _filed_anew(members: DataFrame, shingles: DataFrame, width: int, percent: int) -> DataFrame:
     """``members`` of long lists, filed by a cell instead of their list: open ones, as such, where they ask for it, and all where they have it."""
-    rows = materialize(members.withColumn("row", F.monotonically_increasing_id()), "passage-long")
-    cells = materialize(_cells(rows, shingles, width), "passage-cells")
+    lo = F.greatest(F.col("c") - width, F.lit(0))
+    near = F.substring(F.col("s"), (lo * 4 + 1).cast("int"), ((F.col("c") + width - lo + 1) * 4).cast("int"))
+    # only what stands around the minima travels on
+    rows = members.join(shingles, "id").select(*members.columns, near.alias("near"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "passage-long")
+    settle(members.sparkSession)
     # a cell that one row has, or no open one, brings nobody together
-    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("often"), F.max("open").alias("open")).filter(F.col("open") & (F.col("often") > 1)).select("cell", "often")
-    around = cells.filter("open").join(materialize(often, "passage-often"), "cell", "left").join(rows.select("row", "c"), "row")
+    often = _cells(rows, False).groupBy("cell").agg(F.count(F.lit(1)).alias("often"), F.max("open").alias("open")).filter(F.col("open") & (F.col("often") > 1)).select("cell", "often")
+    often = materialize(often, "passage-often")
+    settle(members.sparkSession)
+    around = _cells(rows.filter("open"), True).join(bounded_broadcast(often), "cell", "left").join(rows.filter("open").select("row", "c"), "row")
     around = around.select("row", "at", "cell", F.coalesce("often", F.lit(1)).alias("often"), F.least("c", F.lit(width)).alias("middle"))
 
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,12 +416,14 @@ def _filed_anew(members: DataFrame, shingles: DataFrame, width: int, percent: in
                 yield pd.DataFrame({"cell": cell, "row": np.full(len(cell), g["row"][0])})
 
     dealt = around.repartition(input_partitions(members.sparkSession), "row").sortWithinPartitions("row")
-    asked = materialize(dealt.mapInPandas(asks, "cell long, row long"), "passage-asked")
-    have = cells.select("cell", "row").distinct().join(asked.select("cell").distinct(), "cell", "left_semi")
+    asked = materialize(dealt.mapInPandas(tidy(asks), "cell long, row long"), "passage-asked")
+    wanted = materialize(asked.select("cell").distinct(), "passage-wanted")
+    have = _cells(rows, False).select("cell", "row").join(bounded_broadcast(wanted), "cell", "left_semi")
     mine = asked.withColumn("asks", F.lit(True))
-    filed = have.join(mine, ["cell", "row"], "left").join(rows.drop("key", "open"), "row")
+    filed = have.join(mine, ["cell", "row"], "left").join(rows.drop("key", "open", "near"), "row")
     out = materialize(filed.select(F.col("cell").alias("key"), "id", "l", "c", "r", "fn", F.coalesce("asks", F.lit(False)).alias("open")), "passage-anew")
-    release(rows, cells, asked)
+    release(rows, often, asked, wanted)
+    settle(members.sparkSession)
     return out
 
 
@@ -471,7 +478,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if ids:
             yield _filed(ids, texts, width, reach)
 
-    filed = materialize(src.mapInPandas(nodes, "key long, id long, p long"), "passage-nodes")
+    filed = materialize(src.mapInPandas(tidy(nodes), "key long, id long, p long"), "passage-nodes")
     # one counter a key and task goes out; the join's hot keys are split by adaptive execution
     lists = filed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).filter(F.col("pivot") < F.col("top")).select("key", "pivot")
     shared = materialize(filed.join(lists, "key"), "passage-shared")
@@ -498,7 +505,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pd.DataFrame({"id": b["id"], "s": [(shingle_list(t) >> np.uint64(32)).astype(np.uint32).tobytes() for t in b["text"]]})
 
         ids = materialize(ids.distinct(), "passage-ids")
-        out = materialize(src.join(bounded_broadcast(ids), "id", "left_semi").mapInPandas(hashes, "id long, s binary"), "passage-shingles")
+        out = materialize(src.join(bounded_broadcast(ids), "id", "left_semi").mapInPandas(tidy(hashes), "id long, s binary"), "passage-shingles")
         release(ids)
         return out
 
@@ -568,7 +575,7 @@ def _joint(shared: DataFrame, width: int) -> DataFrame:
             yield _joined(rest, width)
 
     dealt = shared.repartition(input_partitions(shared.sparkSession), "id").sortWithinPartitions("id")
-    return dealt.mapInPandas(joined, "pair boolean, key long, id long, p long, rich boolean, pivot long")
+    return dealt.mapInPandas(tidy(joined), "pair boolean, key long, id long, p long, rich boolean, pivot long")
 
 
 def _joined(b: pd.DataFrame, width: int) -> pd.DataFrame:
