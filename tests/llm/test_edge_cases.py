@@ -46,3 +46,15 @@ def test_passages_of_rows_that_repeat_an_id(spark):
     assert {(r["doc_id"], r["first_id"]) for r in got} == {(8, 5)}
     assert all(r["start"] == 20 and r["n_words"] == 70 and r["similarity"] == 1.0 for r in got)
     assert repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_all_that_a_refuted_pair_hangs_together_with_is_doubted(spark):
+    from ledeforge.llm.jaccard_join import _doubtful
+
+    pairs = lambda *p: spark.createDataFrame(p, "a long, b long")
+    none = spark.createDataFrame([], "node long, component long")
+    # the smallest node of a component is one of its nodes, and may be the only end of a refuted pair
+    assert {r["node"] for r in _doubtful(pairs((0, 1)), spark.createDataFrame([], "a long, b long"), none).collect()} == {0, 1}
+    comps = spark.createDataFrame([(6, 5), (8, 7)], "node long, component long")
+    got = _doubtful(pairs((5, 9), (7, 8)), pairs((5, 6), (7, 8)), comps)
+    assert {r["node"] for r in got.collect()} == {5, 6, 9}
