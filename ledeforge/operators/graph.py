@@ -9,7 +9,7 @@ from ledeforge.runtime import materialize, release
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """(node, component) for every node with an edge to another; the component is its smallest node.
+    """(node, component) for every node with an edge to another, but the smallest of its component, which names it.
 
     Alternates large-star and small-star steps, which hang every neighbour on
     the smallest one, until the edges no longer change; the number of rounds is
