@@ -150,10 +150,11 @@ def total(weights: Mapping[str, float]) -> Column:
     for name in weights:
         if name not in FACTORS:
             raise KeyError(name)
-    score, whole = F.lit(0.0), 0.0
+    score = F.lit(0.0)
     for name, w in weights.items():
-        score, whole = score + F.lit(w) * F.col(f"raw_{name}"), whole + w
-    return score / F.lit(whole)
+        score = score + F.lit(w) * F.col(f"raw_{name}")
+    # the sum that the SQL divides by; added step by step it can be another float, which moves scores across the threshold
+    return score / F.lit(float(sum(weights.values())))
 
 
 def breakdown(weights: Mapping[str, float]) -> Column:

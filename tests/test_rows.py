@@ -96,3 +96,16 @@ def test_settings():
     assert Settings.load({}).threshold(0.0) == 0.72
     with pytest.raises(ValueError):
         Settings.load({"DIGEST_TIME": "25:00"})
+
+
+def test_score_equals_the_sql_to_the_last_digit(spark):
+    import duckdb
+
+    from ledeforge.plans import sql
+
+    # one step below the threshold in floats, which a divisor just under 1 would lift onto it
+    raw = {"keyword": 0.0, "recency": 1.0, "source_quality": 1.0, "topicality": 0.0, "source_count": 0.0, "numeric": 0.35, "analysis": 0.55, "asset": 1.0}
+    weights = scoring.weights_for("balanced")
+    want = duckdb.connect().execute(f"SELECT {sql.total(weights)} FROM (SELECT {', '.join(f'{v!r}::DOUBLE AS raw_{n}' for n, v in raw.items())})").fetchone()[0]
+    rows = spark.createDataFrame([tuple(raw.values())], ", ".join(f"raw_{n} double" for n in raw))
+    assert rows.select(scoring.total(weights)).first()[0] == want == 0.49999999999999994
