@@ -45,7 +45,7 @@ GPT2_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 
 class ChunkIds(dict):
-    """Little-endian ids by chunk; a chunk has its space or newline in front."""
+    """Little-endian ids by chunk, for vocabularies without the quicker encoder; a chunk has its space or newline in front."""
 
     def __init__(self, vocabulary: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -86,8 +86,11 @@ class ChunkIds(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        """Where white space is single spaces and newlines between words, a chunk's ids don't depend on its neighbours."""
-        if text.replace("\n", " ").split(" ") != text.split():
+        """Where white space is single spaces and newlines between words, a chunk's ids don't depend on its neighbours.
+
+        The quicker encoder takes whole texts in less time than their chunks can be looked up in.
+        """
+        if self.short is not None or text.replace("\n", " ").split(" ") != text.split():
             return self.whole(text)
         chunks = text.replace("\n", " \n").split(" ")
         return b"".join([self.whole(chunks[0]), *map(self.__getitem__, chunks[1:])])

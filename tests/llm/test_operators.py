@@ -421,6 +421,21 @@ def test_token_ids_where_odd_white_space_balances():
         assert table.text(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
 
 
+def test_texts_of_plain_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    from ledeforge.llm.packing import ChunkIds
+
+    path = P.path("byte_bpe_50k.json")
+    whole, table = Tokenizer.from_file(path), ChunkIds(path)
+    texts = [" ".join(f"w{k * 7919 % 9973}x, {k}" for k in range(2000)), "a b\nc  d", "x <|endoftext|> y", "é ß\n\nœ 's"]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert [table.text(t) for t in texts] == want
+    assert not table  # nothing was looked up word by word
+    table.short = None
+    assert [table.text(t) for t in texts] == want and table  # other vocabularies, by chunks
+
+
 def test_urls_are_mined_and_matched_whole(spark):
     from ledeforge.llm.url_filter import filter_urls, mine_rules
 
