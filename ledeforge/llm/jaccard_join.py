@@ -248,20 +248,36 @@ def _doubtful(tried: DataFrame, links: DataFrame, comps: DataFrame) -> DataFrame
     return materialize(taken.join(wrong, "component", "left_semi").select("node"), "jaccard-doubtful")
 
 
+def _lists_once(rows: DataFrame, blocks: Column) -> DataFrame:
+    """(key, node, component, rest, nb) of the lists of ``rows`` with several components, those of the very same nodes as one.
+
+    A common line or passage makes many such lists. Of a node's ``rest``, the largest stays, so no meeting is passed over that one of them allows.
+    """
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"s{seed}") for seed in (1, 2)]
+    lists = rows.groupBy("key").agg(blocks.alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("g"), *same)
+    lists = materialize(lists.filter(F.col("lo") < F.col("hi")).select("key", "g", "s1", "s2", F.ceil("b").cast("int").alias("nb")), "jaccard-split")
+    names = lists.groupBy("g", "s1", "s2").agg(F.min("key").alias("name"))
+    # the block count goes by the nodes, so lists of the same ones agree on it
+    named = lists.join(names, ["g", "s1", "s2"]).select("key", "name", "nb")
+    return rows.join(named, "key").groupBy(F.col("name").alias("key"), "node", "component", "nb").agg(F.max("rest").alias("rest"))
+
+
 def _apart(shared: DataFrame, maps: DataFrame, comps: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
     """Pairs in lists that are in different components and within reach by size and bitmap, as far as they unite components in a task.
 
     With ``sets`` (node, s), a pair is compared exactly first, so that all pairs given are links and none is hidden by a wrong one.
     """
     rows = shared.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.join(maps if sets is None else maps.join(sets, "node"), "node")
     # what a block holds: rows, or as many as their sets' sizes allow
+    if sets is not None:
+        rows = rows.join(maps.select("node", "n"), "node")
     blocks = F.count(F.lit(1)) / BLOCK if sets is None else F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-    split = rows.groupBy("key").agg(blocks.alias("g"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key", F.ceil("g").cast("int").alias("nb"))
-    rows = rows.join(split, "key")
+    rows = _lists_once(rows, blocks)
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
     cols = ["node", "component", "n", "rest", "bits", *(["s"] if sets is not None else [])]
-    rows = rows.select("key", *cols, mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    rows = rows.select("key", "node", "component", "rest", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    # bitmaps and sets come last, so that they are dealt once
+    rows = rows.join(maps if sets is None else maps.join(sets, "node"), "node").select("key", *cols, "mine", "other")
     rows = rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other")
     exact = sets is not None
 

@@ -58,3 +58,13 @@ def test_all_that_a_refuted_pair_hangs_together_with_is_doubted(spark):
     comps = spark.createDataFrame([(6, 5), (8, 7)], "node long, component long")
     got = _doubtful(pairs((5, 9), (7, 8)), pairs((5, 6), (7, 8)), comps)
     assert {r["node"] for r in got.collect()} == {5, 6, 9}
+
+
+def test_lists_of_the_same_nodes_are_compared_once(spark):
+    from ledeforge.llm.jaccard_join import _lists_once
+
+    rows = [(key, node, node // 2, rest + node) for key, rest in ((1, 5), (2, 9), (3, 2)) for node in range(4)]
+    rows += [(4, node, node // 2, 7) for node in (0, 1, 2)] + [(5, node, 0, 7) for node in (0, 1)]
+    df = spark.createDataFrame(rows, "key long, node long, component long, rest long")
+    got = sorted(tuple(r) for r in _lists_once(df, F.count(F.lit(1)) / 2).collect())
+    assert got == [(1, n, n // 2, 2, 9 + n) for n in range(4)] + [(4, n, n // 2, 2, 7) for n in (0, 1, 2)]
