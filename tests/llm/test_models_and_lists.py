@@ -132,3 +132,44 @@ def test_exact_passages_beside_a_common_phrase(spark, phrase, monkeypatch):
         assert sum(p in found for p in pairs) >= 58
     for r in got:
         assert r["n_words"] >= 50 and r["similarity"] >= 0.8 and r["first_id"] < r["doc_id"]
+
+
+def test_common_shingles_bring_the_rows_of_a_list_together_once(spark):
+    """Rows of one list that share 40 shingles met once for each of those that were asked for, with a copy of their surroundings each time."""
+    from ledeforge.llm.substring_dedup import _filed_anew, _retried
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    common, n = fresh(40), 100
+    texts = [np.concatenate([fresh(26), common, fresh(27)]) for _ in range(n)]
+    texts[90][20:70] = texts[60][20:70]  # a longer passage of two of them
+    members = spark.createDataFrame([(7, k, 0, 46, 92, 0, k > 0) for k in range(n)], "key long, id long, l int, c int, r int, fn int, open boolean")
+    shingles = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "id long, s binary")
+    anew = _filed_anew(members, shingles, 46, 80)
+    rows = anew.collect()
+    own = [r for r in rows if r["key"] != 7]  # what two rows have beyond the phrase
+    assert sorted(r["id"] for r in rows if r["key"] == 7) == list(range(n)) and {r["id"] for r in own} <= {60, 90}
+    found = lambda m: {(r["a"], r["b"]) for f in _retried(m, shingles, 46, 80) for r in f.collect()}
+    plain = found(members)
+    assert {b for _, b in plain} == set(range(1, n)) and plain <= found(anew)
+
+
+def test_verdicts_are_those_of_the_runs_themselves():
+    from ledeforge.llm.substring_dedup import Verdicts, best_runs
+
+    rng = np.random.default_rng(9)
+    verdicts, seen = Verdicts(10, 80, most=50), [0, 0]
+    for _ in range(150):
+        own = rng.integers(0, 60, 21, dtype=np.uint32)  # some shingles repeat
+        others = []
+        for _ in range(6):
+            y = rng.integers(60, 90, 25, dtype=np.uint32)
+            lo, n = int(rng.integers(0, 10)), int(rng.integers(6, 12))
+            y[3 : 3 + n] = own[lo : lo + n]
+            y[rng.integers(0, 25, 2)] = rng.integers(0, 90, 2)
+            others.append(y)
+        want = [k for k, y in enumerate(others) if any(lo <= 10 <= hi for _, _, lo, hi, _ in best_runs(y, own, 10, 80))]
+        assert verdicts.first(own, 10, others, 9) == want and verdicts.first(own, 10, others, 1) == want[:1]
+        seen[0] += len(want)
+        seen[1] += len(others) - len(want)
+    assert min(seen) > 100, seen
