@@ -173,3 +173,45 @@ def test_verdicts_are_those_of_the_runs_themselves():
         seen[0] += len(want)
         seen[1] += len(others) - len(want)
     assert min(seen) > 100, seen
+
+
+def test_what_a_list_has_in_common_is_not_joined_row_by_row(spark, monkeypatch):
+    """Every place around the minimum of an open row was joined with its count, those of the list's phrase included."""
+    from ledeforge.llm import substring_dedup as S
+
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    common, n, seen, keep = fresh(40), 100, [], S.bounded_broadcast
+    texts = [np.concatenate([fresh(26), common, fresh(27)]) for _ in range(n)]
+    texts[90][20:70] = texts[60][20:70]
+    members = spark.createDataFrame([(7, k, 0, 46, 92, 0, k > 0) for k in range(n)], "key long, id long, l int, c int, r int, fn int, open boolean")
+    shingles = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "id long, s binary")
+
+    def counted(df, *rest):
+        if {"cell", "often"} <= set(df.columns):
+            seen.append(df.agg(F.max("often")).first()[0])
+        return keep(df, *rest)
+
+    monkeypatch.setattr(S, "bounded_broadcast", counted)
+    rows = S._filed_anew(members, shingles, 46, 80).collect()
+    assert sorted(r["id"] for r in rows if r["key"] == 7) == list(range(n)) and {r["id"] for r in rows if r["key"] != 7} == {60, 90}
+    assert seen and max(seen) == 2
+
+
+def test_rarest_cells_without_repeats_and_runs_in_blocks(monkeypatch):
+    from ledeforge.llm import substring_dedup as S
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        cells, often = rng.permutation(10**6)[:93], rng.integers(1, 6, 93)
+        want, order = set(), np.lexsort((cells, often))
+        rank = np.argsort(order)
+        for x in range(1, 47):
+            want |= {int(cells[p]) for p in x + np.argsort(rank[x : x + 46])[:10] if often[p] > 1}
+        assert S.rarest(cells, often, 46, 46, 80).tolist() == sorted(want)
+    pairs = [(rng.integers(0, 400, 90, dtype=np.uint32), rng.integers(300, 700, 120, dtype=np.uint32)) for _ in range(20)]
+    for a, b in pairs:
+        b[30:60] = a[20:50]
+    whole = [S.best_runs(a, b, 10, 80) for a, b in pairs]
+    monkeypatch.setattr(S, "TABLE", 8)
+    assert [S.best_runs(a, b, 10, 80) for a, b in pairs] == whole and sum(map(len, whole)) >= 20
